@@ -1 +1,8 @@
 """strataloom: a Spark-native analytics engine for text and source-code corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

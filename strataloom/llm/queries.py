@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .handmade import classify_files, made_report
 from .leak import find_leaks, leak_report
 from .split import split_oversized
 
@@ -20,6 +21,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of generated, minified, vendored and bulk-data source files."""
+    return classify_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "blobs")).where("made is not null").select("file_path").distinct()
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files by language family and how they were made."""
+    return made_report(classify_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "blobs")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,4 +56,4 @@ bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report}

@@ -8,9 +8,25 @@ from pyspark.sql import functions as F
 from ..session import table
 from .handmade import classify_files, made_report
 from .leak import find_leaks, leak_report
+from .secrets import archive_records, extract, find_secrets, redact, train
 from .split import split_oversized
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_records(*(table(spark, sf_dir, t) for t in ("blobs", "chunks", "evidence_items")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which a credential starts."""
+    return find_secrets(_records(spark, sf_dir)).select("src_table", "record_key", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that held credentials, without them."""
+    records = _records(spark, sf_dir)
+    return redact(records, train(extract(records))).where("n_redacted > 0").dropDuplicates(["src_table", "record_key", "redacted"])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of oversized chunks on which a unit starts."""
     return split_oversized(table(spark, sf_dir, "chunks")).select("chunk_id", F.explode("unit_lines").alias("line_no")).distinct()
@@ -56,4 +72,4 @@ bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report}

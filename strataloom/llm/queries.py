@@ -10,6 +10,7 @@ from .handmade import classify_files, made_report
 from .leak import find_leaks, leak_report
 from .secrets import archive_records, extract, find_secrets, redact, train
 from .split import split_oversized
+from .subjects import composition, tag_subjects, train_subjects
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,21 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_leaks(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tag_subjects(docs, train_subjects(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of each document."""
+    return _tags(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject."""
+    return composition(_tags(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[\x{00AD}\x{034F}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 ORACLES = {
@@ -72,4 +88,4 @@ bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_composition": p8_composition}

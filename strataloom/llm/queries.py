@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .handmade import classify_files, made_report
 from .leak import find_leaks, leak_report
+from .mixing import Mix, interleaved, mix_sources
 from .secrets import archive_records, extract, find_secrets, redact, train
 from .split import split_oversized
 from .subjects import composition, tag_subjects, train_subjects
@@ -62,6 +63,25 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_leaks(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of uses of each document."""
+    return _mix(spark, sf_dir).uses.select("doc_id", "source", "tokens", "uses")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached."""
+    return _mix(spark, sf_dir).shares
+
+
+def p7_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All uses at their slots."""
+    return interleaved(_mix(spark, sf_dir))
+
+
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tag_subjects(docs, train_subjects(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects")))
@@ -88,4 +108,4 @@ bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_interleaved": p7_interleaved, "p8_found": p8_found, "p8_composition": p8_composition}

@@ -72,8 +72,8 @@ def strip_front_matter(c: str | Column) -> Column:
 
 def strip_code_noise(c: str | Column) -> Column:
     """A line of code without string contents and comments."""
-    x = F.regexp_replace(_c(c), r"\"(?:[^\"\\\n]|\\.)*\"", '""')
-    x = F.regexp_replace(x, r"'(?:[^'\\\n]|\\.)*'", "''")
+    x = F.regexp_replace(_c(c), r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"", '""')
+    x = F.regexp_replace(x, r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", "''")
     return F.regexp_replace(x, r"(?m)(?://|#).*$", "")
 
 

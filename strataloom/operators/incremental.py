@@ -28,7 +28,7 @@ def replace_slice(old: DataFrame, fresh: DataFrame, scope: DataFrame, key: str)
 def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, hash, doc_paths): the same hash unites the lists, another one starts anew."""
     j = old.select("path", F.col("hash").alias("_h"), F.col("doc_paths").alias("_d")).join(new, "path", "full_outer")
-    docs = F.when(F.col("hash").isNull(), F.col("_d")).when(F.col("hash") == F.col("_h"), F.array_sort(F.array_union("_d", "doc_paths"))).otherwise(F.array_sort(F.array_distinct("doc_paths")))
+    docs = F.when(F.col("hash").isNull(), F.array_sort("_d")).when(F.col("hash") == F.col("_h"), F.array_sort(F.array_union("_d", "doc_paths"))).otherwise(F.array_sort(F.array_distinct("doc_paths")))
     return j.select("path", F.coalesce("hash", "_h").alias("hash"), docs.alias("doc_paths"))
 
 

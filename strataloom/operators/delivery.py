@@ -7,11 +7,16 @@ their own file, without being shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Readers write the slashes after a scheme in different numbers.
+SLASHES = r"^(\w+):/+"
 BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -21,8 +26,12 @@ def normal_id(c: str | Column) -> Column:
     return F.when(x != "", x)
 
 
+def _same(file: str) -> str:
+    return re.sub(SLASHES, r"\1:/", file)
+
+
 def _positions(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index") + 1})
+    return df.withColumns({"__file": F.regexp_replace("_metadata.file_path", SLASHES, "$1:/"), "__row": F.col("_metadata.row_index") + 1})
 
 
 def live_vectors(src: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -71,8 +80,6 @@ def split_deliveries(
     """
     src = spark.read.parquet(path)
     cols = list(columns or src.columns)
-    from ..session import cut
-
     vectors = cut(live_vectors(src, keys, order))
     ids = F.array(*[normal_id(k) for k in keys])
 
@@ -88,7 +95,7 @@ def split_deliveries(
     # Beyond the bound: files in lots. Only file names come to the driver, which lists them anyway.
     known, lots, room = {r[0]: r[1] for r in sizes.toLocalIterator()}, [[]], broadcast_bytes
     for f in src.inputFiles():
-        need = known.get(f, 0)
+        need = known.get(_same(f), 0)
         if lots[-1] and need > room:
             lots.append([])
             room = broadcast_bytes
@@ -96,6 +103,6 @@ def split_deliveries(
         room -= need
     out = None
     for lot in lots:
-        one = apply(spark.read.schema(src.schema).parquet(*lot), vectors.where(F.col("__file").isin(lot)))
+        one = apply(spark.read.schema(src.schema).parquet(*lot), vectors.where(F.col("__file").isin([_same(f) for f in lot])))
         out = one if out is None else out.unionAll(one)
     return out

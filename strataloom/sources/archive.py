@@ -36,7 +36,7 @@ def archiveable(files: DataFrame, exclude: list[str] | None = None, cap: int = S
     return (
         files.where(~matches_any("path", exclude or []) & (F.length("content") <= cap) & ~F.hex(head).rlike("^(?:..)*?00"))
         .withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-        .where(F.trim("text") != "")
+        .where(F.col("text").rlike(r"(?U)\S"))
     )
 
 

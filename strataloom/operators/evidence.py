@@ -110,12 +110,12 @@ def repair_json(rows: DataFrame, key: str, text: str) -> DataFrame:
         if not s:
             return None
         dec = json.JSONDecoder()
-        for t in (s, re.sub(r",\s*([}\]])", r"\1", re.sub(r"(?m)^\s*//.*$", "", s))):
-            for m in re.finditer(r"[\[{]", t):
-                try:
-                    return json.dumps(dec.raw_decode(t, m.start())[0], sort_keys=True, ensure_ascii=False)
-                except ValueError:
-                    continue
+        t = re.sub(r",\s*([}\]])", r"\1", re.sub(r"(?m)^\s*//.*$", "", s))
+        for m in re.finditer(r"[\[{]", t):
+            try:
+                return json.dumps(dec.raw_decode(t, m.start())[0], sort_keys=True, ensure_ascii=False)
+            except ValueError:
+                continue
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

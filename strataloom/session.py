@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -52,3 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows, those with the smallest hashes of their keys. All but about that many are filtered out where they are, so that no task and no driver gathers `most`
+    rows of every partition."""
+    n = df.count()
+    space = 1 << 30
+    h = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(space))
+    some = df.where(h < int(space * most / n)) if n > most else df
+    return some.orderBy(h, *keys).limit(most)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded_sample, cut
 
 BUCKETS, PAIRS, DIM = 1 << 15, 1 << 14, 16
 _FENCE = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)")
@@ -291,7 +291,7 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int) -> DataFrame:
     """(doc_id, text, given) of at most `sample_docs` labelled documents, those with the smallest hashes of their ids."""
     given = clean_labels(labels, subjects).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("given"))
-    chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = bounded_sample(given, ["doc_id"], sample_docs)
     texts = docs.where("text is not null").select("doc_id", "text")
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 

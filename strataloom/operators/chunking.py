@@ -38,7 +38,13 @@ def drop_overlaps(df: DataFrame, keys: list[str], most: float = 0.5, weight: str
     """Of each key the ranges that remain when, in order of start, a range that shares over `most` of the shorter one with the last kept range is dropped; if its `weight`
     (say, the number of its symbols) is greater, it takes that range's place. The comparison is with the last *kept* range, hence a fold and not a window."""
     w = F.col(weight).cast("int") if weight else F.lit(0)
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start_line").cast("int").alias("a"), F.col("end_line").cast("int").alias("b"), w.alias("w")))).alias("r"))
+    one = df.select(*keys, F.struct(F.col("start_line").cast("int").alias("a"), F.col("end_line").cast("int").alias("b"), w.alias("w")).alias("x"))
+    # Where a range starts behind all before it, the scan starts anew: islands are folded apart, so no array holds more than ranges that hang together.
+    order = Window.partitionBy(*keys).orderBy("x")
+    reach = F.max("x.b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = one.withColumn("_new", F.coalesce((F.col("x.a") > reach).cast("int"), F.lit(1)))
+    islands = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = islands.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list("x")).alias("r"))
 
     def keep(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)

@@ -27,8 +27,9 @@ def signals(texts: DataFrame, key: str, text: str, rules: dict[str, str] = SIGNA
 
 def signal_files(found: DataFrame, key: str, most: int = 3) -> DataFrame:
     """Of each signal value the number of files and the first `most` of them. Only `most` names per group are kept while grouping."""
-    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("signal", "value").orderBy(key)))
-    return ranked.groupBy("signal", "value").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col(key)))).alias("files"))
+    n = found.groupBy("signal", "value").agg(F.count("*").alias("n_files"))
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("signal", "value").orderBy(key))).where(F.col("_n") <= most)
+    return n.join(ranked.groupBy("signal", "value").agg(F.array_sort(F.collect_list(key)).alias("files")), ["signal", "value"])
 
 
 def capped_lists(rows: DataFrame, group: list[str], kind: str, value: str, order: list[Column], caps: dict[str, int]) -> DataFrame:

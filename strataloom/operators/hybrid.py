@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +65,19 @@ def out_of_domain(hits: DataFrame, query: str, cosine: str, strong: Column, leas
 
 
 def fits_budget(items: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
-    """Greedy in order: an item that doesn't fit into what is left is skipped, later smaller ones may still fit. A group's sizes are folded in one array; the payload isn't."""
-    seq = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_s")))).alias("_a"))
-    zero = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<int>").alias("took"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["_s"] <= acc["left"]
-        return F.struct((acc["left"] - F.when(fits, x["_s"]).otherwise(0)).alias("left"), F.concat(acc["took"], F.array(fits.cast("int"))).alias("took"))
-
-    folded = seq.withColumn("_f", F.aggregate("_a", zero, step)["took"])
-    return folded.select(*group, F.explode(F.arrays_zip(F.col("_a").alias("a"), F.col("_f").alias("f"))).alias("x")).where(F.col("x.f") == 1).select(*group, *[F.col(f"x.a.{o}").alias(o) for o in order], F.col("x.a._s").alias(size))
+    """Greedy in order: an item that doesn't fit into what is left is skipped, later smaller ones may still fit. Null sizes count 0. The items of a group come sorted and are taken one by
+    one, so that a task holds a batch and one number, however long the group is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left = None, budget
+        for pdf in batches:
+            take = []
+            for k, n in zip(zip(*(pdf[g] for g in group)), pdf[size]):
+                if k != key:
+                    key, left = k, budget
+                take.append(n <= left)
+                left -= n if n <= left else 0
+            yield pdf[take]
+
+    rows = items.select(*group, *order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size)).where(F.col(size) <= budget)
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, rows.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..session import cut
 
 #: Weight of each field of a row; a term in several fields counts the sum.
 FIELDS = {"file_path": 5.0, "title": 3.0, "symbols": 2.0, "text": 1.0}
@@ -19,33 +20,38 @@ def fts_terms(c: Column, most: int = 8) -> Column:
     return F.slice(F.array_sort(F.array_distinct(terms(c))), 1, most)
 
 
-def postings(rows: DataFrame, key: list[str], fields: dict[str, float] = FIELDS) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) with tf weighted by field, and (key, n_tokens) of every row."""
+def bags(rows: DataFrame, key: list[str], fields: dict[str, float] = FIELDS) -> DataFrame:
+    """(key, n_tokens, bag): every token of every field of a row, with its field's weight."""
+
     def weighted(field: str, w: float) -> Column:
         return F.transform(terms(F.coalesce(F.col(field).cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
 
-    bag = rows.select(*key, reduce(F.concat, [weighted(f, w) for f, w in fields.items()]).alias("_t"))
-    lengths = bag.select(*key, F.size("_t").alias("n_tokens"))
-    post = bag.select(*key, F.explode("_t").alias("t")).groupBy(*key, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
-    return post, lengths
+    return rows.select(*key, reduce(F.concat, [weighted(f, w) for f, w in fields.items()]).alias("bag")).withColumn("n_tokens", F.size("bag"))
+
+
+def postings(bag: DataFrame, key: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, n_tokens); with `wanted` (term) only of those terms, left out before anything is shuffled."""
+    each = bag.select(*key, "n_tokens", F.explode("bag").alias("t")).select(*key, "n_tokens", "t.term", "t.w")
+    if wanted is not None:
+        each = each.join(wanted.select("term"), "term", "left_semi")
+    return each.groupBy(*key, "term", "n_tokens").agg(F.sum("w").alias("tf"))
 
 
 def bm25_topk(rows: DataFrame, key: list[str], queries: DataFrame, k: int = 10, fields: dict[str, float] = FIELDS, most_terms: int = 8) -> DataFrame:
     """(query_id, key, score, rank) of the k best rows of each query (query_id, question).
 
-    Only postings of asked terms are kept after the first pass over the rows; statistics are of all rows. The terms of all queries are few and joined
-    by broadcast when their number is under the session's limit, otherwise by a shuffle on the term.
+    Statistics are of all rows; of the postings only those of asked terms leave the scan. They are computed once into the shared folder, as document
+    frequencies and scores both need them. Rows without any text count as rows of length 0.
     """
-    asked = queries.select("query_id", F.explode(fts_terms(F.col("question"), most_terms)).alias("term"))
-    wanted = asked.select("term").distinct()
-    post, lengths = postings(rows, key, fields)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
-    sized = post.join(wanted, "term", "left_semi").join(lengths, key)
-    df = sized.groupBy("term").agg(F.count("*").alias("df"))
+    asked = cut(queries.select("query_id", F.explode(fts_terms(F.col("question"), most_terms)).alias("term")))
+    bag = bags(rows, key, fields)
+    stats = bag.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
+    post = cut(postings(bag, key, asked.select("term").distinct()))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-    scored = asked.join(weight, "term").join(sized, "term").groupBy("query_id", *key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = asked.join(weight, "term").join(post, "term").groupBy("query_id", *key).agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -96,7 +96,7 @@ def cascade(links: DataFrame, dead: DataFrame, rounds: int = 100, salt: int = 8)
     return reduce(DataFrame.unionByName, found)
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, salt: int = 8) -> DataFrame:
     """refs with `status`: 'direct' (no live target), 'inherited' (its target lives but is itself an orphan, directly or not) or 'sound',
     and `depth`, the target's distance from the dead reference (null unless inherited).
 
@@ -110,9 +110,12 @@ def find_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     # Only parents that hold references themselves can pass a death on.
     parents = refs.select(F.col("child_table").alias("parent_table")).distinct()
     links = seen.where("live").select(*chain).join(F.broadcast(parents), "parent_table", "left_semi")
-    orphans = cascade(links, dead).select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), "depth")
+    # A parent that a third of all references mean is spread by a salt over the children.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
+    orphans = cascade(links, dead).select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), "depth", salts)
     status = F.when(~F.col("live"), "direct").when(F.col("depth").isNotNull(), "inherited").otherwise("sound")
-    joined = seen.join(orphans, ["parent_table", "parent_key"], "left")
+    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("child_key", "at"), F.lit(salt)).cast("int"))
+    joined = salted.join(orphans, ["parent_table", "parent_key", "_salt"], "left").drop("_salt")
     return joined.withColumn("status", status).withColumn("depth", F.when(F.col("live"), F.col("depth"))).drop("live")
 
 

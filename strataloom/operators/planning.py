@@ -27,13 +27,13 @@ def coverage_rate(total: Column, covered: Column) -> Column:
 
 def fold_small_groups(rows: DataFrame, group: str, least: int, rest: str = "misc") -> DataFrame:
     """rows with groups of under `least` rows renamed to `rest`."""
-    n = F.count("*").over(Window.partitionBy(group))
-    return rows.withColumn("_n", n).withColumn(group, F.when(F.col("_n") < least, F.lit(rest)).otherwise(F.col(group))).drop("_n")
+    small = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") < least).select(group, F.lit(True).alias("_s"))
+    return rows.join(small, group, "left").withColumn(group, F.when(F.col("_s"), F.lit(rest)).otherwise(F.col(group))).drop("_s")
 
 
 def merge_groups(rows: DataFrame, key: list[str], lists: list[str], scalars: list[str], order: list[str]) -> DataFrame:
     """One row for each key: lists united and sorted, of scalars the first that isn't empty."""
-    agg = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
+    agg = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists]
     agg += [F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.struct(*order))), F.lit("")).alias(c) for c in scalars]
     return rows.groupBy(*key).agg(*agg)
 
@@ -56,9 +56,11 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str, root: str, nam
     return paths.join(best, path, "left").withColumn(name, F.coalesce(name, F.lit("")))
 
 
-def shared_owners(bridge: DataFrame, item: str, owner: str, most_owners: int | None = None) -> DataFrame:
-    """(owner, other, n_shared): owners of the same item. The pairs are the result; `most_owners` leaves out items that more owners share, where given."""
+def shared_owners(bridge: DataFrame, item: str, owner: str, most: int = 3) -> DataFrame:
+    """(owner, item, n_owners, others): of each item an owner shares, how many own it, and the first `most` of the others. No pairs of owners are made."""
     b = bridge.select(item, owner).distinct()
-    if most_owners:
-        b = b.withColumn("_n", F.count("*").over(Window.partitionBy(item))).where(F.col("_n") <= most_owners).drop("_n")
-    return b.join(b.withColumnRenamed(owner, "other"), item).where(F.col(owner) < F.col("other")).groupBy(owner, "other").agg(F.count("*").alias("n_shared"))
+    n = b.groupBy(item).agg(F.count("*").alias("n_owners")).where("n_owners > 1")
+    ranked = b.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy(owner))).where(F.col("_n") <= most + 1)
+    first = ranked.groupBy(item).agg(F.array_sort(F.collect_list(owner)).alias("_o"))
+    j = b.join(n, item).join(first, item)
+    return j.select(owner, item, "n_owners", F.slice(F.filter("_o", lambda x: x != F.col(owner)), 1, most).alias("others"))

@@ -111,7 +111,8 @@ def similar_pages(spark, d):
 
 
 def shared_file_pages(spark, d):
-    return planning.shared_owners(_page_files(spark, d), "file", "slug").select("slug", "other", "n_shared")
+    """Files that several pages cover, with the first three other pages."""
+    return planning.shared_owners(_page_files(spark, d), "file", "slug")
 
 
 def token_overlap_assign(spark, d):
@@ -214,7 +215,7 @@ SELECT slug AS grp, file AS item FROM pf WHERE file IN (SELECT item FROM items)"
 SELECT node, ancestor, min(distance) AS distance FROM w GROUP BY 1, 2""",
     "similar_pages": f"""WITH {_FILES}, n AS (SELECT slug, count(*) AS n FROM pf GROUP BY 1), s AS (SELECT x.slug AS a, y.slug AS b, count(*) AS s FROM pf x JOIN pf y ON x.file = y.file AND x.slug < y.slug GROUP BY 1, 2)
 SELECT a, b, round(s / (p.n + q.n - s)::DOUBLE, 6) AS jaccard FROM s JOIN n p ON p.slug = a JOIN n q ON q.slug = b WHERE s / (p.n + q.n - s)::DOUBLE >= 0.6""",
-    "shared_file_pages": f"WITH {_FILES} SELECT x.slug, y.slug AS other, count(*) AS n_shared FROM pf x JOIN pf y ON x.file = y.file AND x.slug < y.slug GROUP BY 1, 2",
+    "shared_file_pages": f"WITH {_FILES}, g AS (SELECT file, list_sort(list(slug)) AS all_ FROM pf GROUP BY 1 HAVING count(*) > 1) SELECT slug, pf.file, len(all_) AS n_owners, list_slice(list_filter(all_, lambda x: x <> slug), 1, 3) AS others FROM pf JOIN g ON g.file = pf.file",
     "token_overlap_assign": f"""WITH d AS (SELECT doc_id, unnest({_tokens('text')}) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, unnest({_tokens('text')}) AS t FROM benchmark),
 n AS (SELECT doc_id, item_id, count(*) AS overlap FROM d JOIN b ON d.t = b.t GROUP BY 1, 2)
 SELECT doc_id, item_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) AS rn FROM n) WHERE rn = 1""",

@@ -27,13 +27,13 @@ FAMILIES = {
 #: Thresholds of each family: mean line, longest line with it, least white-space share, numeric literals among all words and literals,
 #: share of long encoded runs, alphanumeric share.
 THRESHOLDS = {
-    "py": (120, 400, 0.08, 0.45, 0.50, 0.90),
-    "script": (140, 500, 0.07, 0.45, 0.50, 0.90),
-    "go": (120, 400, 0.07, 0.45, 0.50, 0.90),
-    "java": (130, 450, 0.08, 0.45, 0.50, 0.90),
-    "php": (130, 450, 0.08, 0.45, 0.50, 0.90),
-    "c": (120, 400, 0.07, 0.50, 0.50, 0.90),
-    "loose": (160, 600, 0.05, 0.50, 0.50, 0.92),
+    "py": (200, 400, 0.05, 0.30, 0.70, 0.97),
+    "script": (220, 500, 0.05, 0.30, 0.70, 0.97),
+    "go": (200, 400, 0.05, 0.30, 0.70, 0.97),
+    "java": (210, 450, 0.05, 0.30, 0.70, 0.97),
+    "php": (210, 450, 0.05, 0.30, 0.70, 0.97),
+    "c": (200, 400, 0.05, 0.30, 0.70, 0.97),
+    "loose": (250, 600, 0.03, 0.30, 0.70, 0.97),
 }
 #: A file under this many characters is too short for statistics.
 LEAST = 120

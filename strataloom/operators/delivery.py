@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Names that no table's column should have; a table with one of them is refused.
+FILE, ROW, BLOCK, LIVE = "__sl_file", "__sl_row", "__sl_block", "__sl_live"
 #: Readers write the slashes after a scheme in different numbers.
 SLASHES = r"^(\w+):/+"
 BLANK = r"(?U)^\s+|\s+$"
@@ -31,11 +33,11 @@ def _same(file: str) -> str:
 
 
 def _positions(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__file": F.regexp_replace("_metadata.file_path", SLASHES, "$1:/"), "__row": F.col("_metadata.row_index") + 1})
+    return df.withColumns({FILE: F.regexp_replace("_metadata.file_path", SLASHES, "$1:/"), ROW: F.col("_metadata.row_index") + 1})
 
 
 def live_vectors(src: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(file, block, live): the rows to keep, a bitmap for each block of a file.
+    """(FILE, BLOCK, LIVE): the rows to keep, a bitmap for each block of a file.
 
     The earliest row of a key wins by `order` (nulls last), then by file and row, so that ties and repeated rows
     leave exactly one copy. The minimum is combined before the shuffle: a key that holds a third of all rows sends
@@ -43,23 +45,23 @@ def live_vectors(src: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     """
     parts = [normal_id(k) for k in keys]
     narrow = _positions(src.select(*dict.fromkeys([*keys, *order]), "_metadata"))
-    rank = F.struct(*[x for o in order for x in (F.col(o).isNull().alias(f"n_{o}"), F.col(o).alias(f"o_{o}"))], "__file", "__row")
+    rank = F.struct(*[x for o in order for x in (F.col(o).isNull().alias(f"n_{o}"), F.col(o).alias(f"o_{o}"))], FILE, ROW)
     ident = F.array(*parts)
     winners = (
         narrow.where(~F.exists(ident, lambda x: x.isNull()))
         .groupBy(ident.alias("k"))
         .agg(F.min(rank).alias("w"))
-        .select("w.__file", "w.__row")
+        .select(f"w.{FILE}", f"w.{ROW}")
     )
-    return winners.groupBy("__file", F.expr("bitmap_bucket_number(__row)").alias("__block")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(__row))").alias("live")
+    return winners.groupBy(FILE, F.expr("bitmap_bucket_number(__sl_row)").alias(BLOCK)).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(__sl_row))").alias(LIVE)
     )
 
 
 def _bit(row: Column) -> Column:
-    """The bit of a row in column live; null live: false."""
-    at = F.expr("bitmap_bit_position(__row)")
-    byte = F.conv(F.hex(F.expr("substring(live, cast(bitmap_bit_position(__row) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    """The bit of a row in column LIVE; null: false."""
+    at = F.expr("bitmap_bit_position(__sl_row)")
+    byte = F.conv(F.hex(F.expr("substring(__sl_live, cast(bitmap_bit_position(__sl_row) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
@@ -76,19 +78,21 @@ def split_deliveries(
 
     A bitmap is 4 KB for 32,768 rows. Where those of all files stay under `broadcast_bytes` the table is read in
     one scan; beyond that, files are read in lots whose bitmaps stay under it, one scan each. Nothing else is
-    broadcast, and no wide row is shuffled. An empty table gives an empty result; extra columns pass through.
+    broadcast, and no wide row is shuffled. An empty table gives an empty result; extra columns pass through, but for one named delivery_state, which is replaced.
     """
     src = spark.read.parquet(path)
-    cols = list(columns or src.columns)
+    cols = list(columns or [c for c in src.columns if c != "delivery_state"])
+    if {FILE, ROW, BLOCK, LIVE} & set(src.columns):
+        raise ValueError("a column has one of the names that this operator needs")
     vectors = cut(live_vectors(src, keys, order))
     ids = F.array(*[normal_id(k) for k in keys])
 
     def apply(part: DataFrame, v: DataFrame) -> DataFrame:
-        wide = _positions(part.select("*", "_metadata")).withColumn("__block", F.expr("bitmap_bucket_number(__row)"))
-        state = F.when(F.exists(ids, lambda x: x.isNull()), "no message").when(_bit(F.col("__row")), "kept").otherwise("surplus")
-        return wide.join(F.broadcast(v), ["__file", "__block"], "left").select(*cols, state.alias("delivery_state"))
+        wide = _positions(part.select("*", "_metadata")).withColumn(BLOCK, F.expr("bitmap_bucket_number(__sl_row)"))
+        state = F.when(F.exists(ids, lambda x: x.isNull()), "no message").when(_bit(F.col(ROW)), "kept").otherwise("surplus")
+        return wide.join(F.broadcast(v), [FILE, BLOCK], "left").select(*cols, state.alias("delivery_state"))
 
-    sizes = vectors.groupBy("__file").agg((F.count("*") * 4200).alias("b"))
+    sizes = vectors.groupBy(FILE).agg((F.count("*") * 4200).alias("b"))
     total = sizes.agg(F.sum("b"), F.max("b")).first()
     if (total[0] or 0) <= broadcast_bytes:
         return apply(src, vectors)
@@ -103,6 +107,6 @@ def split_deliveries(
         room -= need
     out = None
     for lot in lots:
-        one = apply(spark.read.schema(src.schema).parquet(*lot), vectors.where(F.col("__file").isin([_same(f) for f in lot])))
+        one = apply(spark.read.schema(src.schema).parquet(*lot), vectors.where(F.col(FILE).isin([_same(f) for f in lot])))
         out = one if out is None else out.unionAll(one)
     return out

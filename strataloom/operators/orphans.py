@@ -39,7 +39,8 @@ def resolve(refs: DataFrame, targets: DataFrame, bin: str = "day") -> DataFrame:
     """refs (key, at, …) with the column `live`.
 
     targets: key, since, until (null: for ever). A target without key or since never counts; a reference without key or
-    time is never live. Repeated references stay repeated, repeated targets count once; either side may be empty.
+    time is never live. Repeated references stay repeated, repeated targets count once; either side may be empty. Other columns of refs pass through
+    whatever their names, but for one named live, which is replaced.
     """
     ts = lambda c: F.col(c).cast("timestamp_ntz")
     none = F.lit(None).cast("timestamp_ntz")
@@ -49,9 +50,9 @@ def resolve(refs: DataFrame, targets: DataFrame, bin: str = "day") -> DataFrame:
     )
     # Of versions that end together only the earliest matters.
     known = known.groupBy("key", "until").agg(F.min("since").alias("since"))
-    asked = refs.withColumn("at", ts("at"))
-    payload = [c for c in asked.columns if c not in ("key", "at")]
-    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in payload]
+    others = [F.col(f"`{c}`") for c in refs.columns if c not in ("key", "at", "live")]
+    asked = refs.select("key", ts("at").alias("at"), F.struct(*others, F.lit(0).alias("__pad")).alias("p"))
+    empty = F.lit(None).cast(asked.schema["p"].dataType).alias("p")
     bins = (
         known.select("key", bin_of("since").alias("bin"), "until")
         .unionByName(asked.where("key is not null and at is not null").select("key", bin_of("at").alias("bin"), none.alias("until")))
@@ -61,13 +62,13 @@ def resolve(refs: DataFrame, targets: DataFrame, bin: str = "day") -> DataFrame:
     before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.select("key", "bin", F.max("until").over(before).alias("until")).where("until > bin")
     rows = (
-        asked.select("key", bin_of("at").alias("bin"), "at", F.lit(1).alias("kind"), none.alias("until"), *payload)
-        .unionByName(known.select("key", bin_of("since").alias("bin"), F.col("since").alias("at"), F.lit(0).alias("kind"), "until", *empty))
-        .unionByName(carried.select("key", "bin", F.col("bin").alias("at"), F.lit(0).alias("kind"), "until", *empty))
+        asked.select("key", bin_of("at").alias("bin"), "at", F.lit(1).alias("kind"), none.alias("until"), "p")
+        .unionByName(known.select("key", bin_of("since").alias("bin"), F.col("since").alias("at"), F.lit(0).alias("kind"), "until", empty))
+        .unionByName(carried.select("key", "bin", F.col("bin").alias("at"), F.lit(0).alias("kind"), "until", empty))
     )
     so_far = Window.partitionBy("key", "bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     alive = (F.max("until").over(so_far) > F.col("at")) & F.col("key").isNotNull()
-    return rows.withColumn("live", F.coalesce(alive, F.lit(False))).where("kind = 1").drop("bin", "kind", "until")
+    return rows.withColumn("live", F.coalesce(alive, F.lit(False))).where("kind = 1").select("key", "at", "p.*", "live").drop("__pad")
 
 
 def cascade(links: DataFrame, dead: DataFrame, rounds: int = 100, salt: int = 8) -> DataFrame:
@@ -100,8 +101,10 @@ def find_orphans(refs: DataFrame, targets: DataFrame, salt: int = 8) -> DataFram
     """refs with `status`: 'direct' (no live target), 'inherited' (its target lives but is itself an orphan, directly or not) or 'sound',
     and `depth`, the target's distance from the dead reference (null unless inherited).
 
-    refs: child_table, child_key, parent_table, parent_key, at, …; targets: tab, key, since, until.
+    refs: child_table, child_key, parent_table, parent_key, at, …; targets: tab, key, since, until. Other columns pass through, but for those named as the
+    ones added here. Null parents, keys and times are direct orphans; without references the result is empty, without targets all are direct.
     """
+    refs = refs.drop("status", "depth", "live", "key", "_salt")
     named = targets.select(F.struct("tab", "key").alias("key"), "since", "until")
     keyed = F.when(F.col("parent_key").isNotNull(), F.struct(F.col("parent_table").alias("tab"), F.col("parent_key").alias("key")))
     seen = cut(resolve(refs.withColumn("key", keyed), named.where("key.key is not null")).drop("key"))

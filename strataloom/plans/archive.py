@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import LANGUAGES, language_of
 from ..sources import archive, parsers
-from ..session import table
+from ..session import cut, table
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def code_imports(spark, d):
 
 
 def call_edges(spark, d):
-    t = _texts(spark, d)
+    t = cut(_texts(spark, d))  # read twice below
     return parsers.resolve_calls(parsers.calls(t, ["file_path"]), parsers.symbols(t, ["file_path"]), "file_path")
 
 

@@ -37,21 +37,26 @@ ROUTES = (
 )
 
 
-def _lines(files: DataFrame, keys: list[str]) -> DataFrame:
-    return files.where("text is not null").select(*keys, "language", F.posexplode(line_array("text")).alias("_p", "line")).withColumn("line_no", F.col("_p") + 1).drop("_p")
+def _lines(files: DataFrame, keys: list[str], total: str | None = None) -> DataFrame:
+    """Lines with their numbers and, as `total`, how many their file has."""
+    arrays = files.where("text is not null").select(*keys, "language", line_array("text").alias("_l"))
+    extra = [F.size("_l").alias(total)] if total else []
+    return arrays.select(*keys, "language", *extra, F.posexplode("_l").alias("_p", "line")).withColumn("line_no", F.col("_p") + 1).drop("_p")
 
 
 def symbols(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, language, name, kind, start_line, end_line (the line before the next symbol, or the last line), visibility, signature."""
     hit: Column | None = None
     for lang, patterns in SYMBOLS.items():
+        one: Column | None = None
         for kind, p in patterns:
-            name = F.regexp_extract("line", p, 1)
-            ok = (F.col("language") == lang) & (name != "")
-            s = F.struct(name.alias("name"), F.lit(kind).alias("kind"))
-            hit = F.when(ok, s) if hit is None else hit.when(ok, s)
-    total = files.where("text is not null").select(*keys, F.size(line_array("text")).alias("_total"))
-    found = _lines(files, keys).withColumn("_s", hit).where("_s is not null").join(total, keys)
+            s = F.struct(F.regexp_extract("line", p, 1).alias("name"), F.lit(kind).alias("kind"))
+            ok = F.col("line").rlike(p)
+            one = F.when(ok, s) if one is None else one.when(ok, s)
+        hit = F.when(F.col("language") == lang, one) if hit is None else hit.when(F.col("language") == lang, one)
+    # Few lines define anything: a cheap test by the words that all patterns need comes first.
+    lines = _lines(files.where(F.col("language").isin(*SYMBOLS)), keys, "_total").where(F.col("line").rlike(r"\b(?:class|def|func|function|interface|type|enum|trait|record|const|public|private|protected|static|final|abstract)\b"))
+    found = lines.withColumn("_s", hit).where("_s is not null and _s.name <> ''")
     nxt = F.lead("line_no").over(Window.partitionBy(*keys).orderBy("line_no"))
     private = F.col("name").rlike(r"^_|^#") | F.col("line").rlike(r"\b(private|protected)\b")
     return found.select(*keys, "language", "_s.name", "_s.kind", F.col("line_no").alias("start_line"), F.coalesce(nxt - 1, F.col("_total")).alias("end_line"), "line").select(

@@ -13,7 +13,7 @@ T0 = datetime(2025, 1, 1)
 
 
 def _messages(spark, path, rows, files=3):
-    schema = "delivery_id bigint, job_id string, owner string, repo string, received_at timestamp_ntz, delivery_state_old string, __file2 string"
+    schema = "delivery_id bigint, job_id string, owner string, repo string, received_at timestamp_ntz, delivery_state string, live string"
     spark.createDataFrame(rows, schema).repartition(files).write.mode("overwrite").parquet(path)
 
 
@@ -37,7 +37,7 @@ def test_split_matches_brute_force(spark, tmp_path):
     assert out.where("delivery_state = 'surplus'").count() == n_surplus
     assert {x.delivery_id for x in out.where("delivery_state = 'kept'").collect()} == set(kept.values())
     assert out.count() == len(rows)
-    assert set(out.columns) >= {"delivery_state_old", "__file2"}  # extra columns pass through
+    assert set(out.columns) >= {"delivery_state", "live"} and out.where("live = 'w'").count() == len(rows)  # extra columns pass through
 
 
 def test_hot_message_lots_and_ties(spark, tmp_path):
@@ -103,8 +103,10 @@ def test_find_orphans_direct_and_inherited(spark):
     t = T0
     refs = spark.createDataFrame(
         [("files", "f1", "blobs", "h1", t, "x"), ("files", "f2", "blobs", "h2", t, "x"), ("chunks", "c1", "files", "f1", t, "x"), ("chunks", "c2", "files", "f2", t, "x"), ("chunks", "c3", "files", "f9", t, "x"), ("chunks", "c3", "files", None, t, "x")],
-        "child_table string, child_key string, parent_table string, parent_key string, at timestamp_ntz, status_note string",
+        "child_table string, child_key string, parent_table string, parent_key string, at timestamp_ntz, until string",
     )
     targets = spark.createDataFrame([("blobs", "h2", t, None), ("files", "f1", t, None), ("files", "f2", t, None), (None, None, t, None)], "tab string, key string, since timestamp_ntz, until timestamp_ntz")
     got = {(x.child_key, x.parent_key): x.status for x in find_orphans(refs, targets).collect()}
+    assert find_orphans(refs.withColumn("live", F.lit(1)).withColumn("kind", F.lit(2)).withColumn("bin", F.lit(3)).withColumn("status", F.lit(4)), targets).where("status = 'direct' and kind = 2 and bin = 3 and until = 'x'").count() == 3
+    assert find_orphans(refs.limit(0), targets).count() == 0 and find_orphans(refs, targets.limit(0)).where("status <> 'direct'").count() == 0
     assert got == {("f1", "h1"): "direct", ("f2", "h2"): "sound", ("c1", "f1"): "inherited", ("c2", "f2"): "sound", ("c3", "f9"): "direct", ("c3", None): "direct"}

@@ -8,7 +8,8 @@ NAME = r"[A-Za-z_$][\w$]*"
 MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|async|readonly|override|export|default|declare|synchronized|native|partial|open|get|set)\s+)*"
 FAMILY = {"py": "py", "pyi": "py", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "vue": "js", "go": "go", "java": "java", "kt": "java", "cs": "java", "php": "php"}
 LANGUAGE = {"python": "py", "javascript": "js", "typescript": "js", "go": "go", "java": "java", "php": "php"}
-NOT_NAMES = frozenset("if for while switch catch return function await new throw else do try with elif match case yield assert import from print super typeof delete using lock foreach".split())
+#: Words before a bracket that name no method.
+NOT_NAMES = frozenset("if for while switch catch return function await new throw else do try with typeof super foreach synchronized".split())
 
 _CLASS = {
     "py": re.compile(rf"\s*class\s+({NAME})"),
@@ -96,16 +97,16 @@ def definitions(lines: list[str], first: int, symbols: list[str], fam: str | Non
                 stack.append((indent, name, True))
                 break
             inside = stack[-1] if stack else None
-            m = _FUNC[f].match(line)
+            m, loose = _FUNC[f].match(line), f == "java"  # loose: no word of the language says that it is a definition
             if m is None and f in _MEMBER and indent and (inside is None or inside[2]):
-                m = _MEMBER[f].match(line)
+                m, loose = _MEMBER[f].match(line), True
             if m is None and f == "py" and not indent:
                 m = _PY_CONST.match(line)
             if m is None:
                 continue
             owner = m[1] if f == "go" and m[2] else None
             name = (m[2] or (m[3] if m.lastindex and m.lastindex >= 3 else None)) if f == "go" else next(g for g in m.groups() if g)
-            if not name or name in NOT_NAMES or (f == "java" and re.match(r"\s*(?:return|new|throw|else|case|await|yield)\b", line)):
+            if not name or loose and name in NOT_NAMES or (f == "java" and re.match(r"\s*(?:return|new|throw|else|case|await|yield)\b", line)):
                 continue
             if name in last and (full := _is_listed(name, owner, stack, listed, headers, False, indent)):
                 out.setdefault(i, full)

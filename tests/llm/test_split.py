@@ -91,6 +91,8 @@ def test_definitions():
     assert definitions(java, 0, ["S", "S.run"], "java") == {0: "S", 1: "S.run"}
     php = "<?php\nfinal class S {\n    // function run()\n    private static function run($a)\n    {\n        $this->run();\n    }\n}".split("\n")
     assert definitions(php, 0, ["S", "S.run"], "php") == {1: "S", 3: "S.run"}
+    assert definitions(["class K:", "    def delete(self):", "    async def lock(self):", "        if x(1):"], 0, ["K.delete", "K.lock", "K.if"], "py") == {1: "K.delete", 2: "K.lock"}
+    assert definitions(["class K {", "  delete(a) {", "    if (a) {", "  with(a) {"], 0, ["K.delete", "K.if", "K.with"], "js") == {1: "K.delete"}
     assert definitions(["    def m(self):", "        pass"], 0, ["K.m"], "py") == {0: "K.m"}  # its header lies outside
 
 

@@ -109,3 +109,21 @@ def symbol_ends(symbols: DataFrame, keys: list[str], total: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start_line", "name")
     nxt = F.lead("start_line").over(w)
     return symbols.withColumn("end_line", F.when(F.col("end_line") > 0, F.col("end_line")).otherwise(F.greatest(F.coalesce(nxt - 1, F.col(total)), F.col("start_line"))))
+
+
+def split_sections(df: DataFrame, text: str, keys: list[str], limit: int) -> DataFrame:
+    """(keys, part, n_parts, text): texts cut at paragraphs, else lines, else characters, and packed in order into parts of at most `limit` characters. Put together without white space
+    between paragraphs, the parts are the text."""
+    hard = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(x) / limit) - 1, F.lit(0)).cast("int")), lambda i: F.substring(x, i * limit + 1, F.lit(limit)))
+    lines = lambda p: F.when(F.char_length(p) <= limit, F.array(p)).otherwise(F.flatten(F.transform(F.split(p, "\n"), hard)))
+    bits = F.filter(F.flatten(F.transform(F.split(F.col(text), r"\n\s*\n"), lines)), lambda x: F.trim(x) != "")
+
+    def pack(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(last, F.lit("\n\n"), x)
+        fits = (F.size(acc) > 0) & (F.char_length(joined) <= limit)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    some = df.select(*keys, bits.alias("_b")).where(F.size("_b") > 0)
+    parts = some.select(*keys, F.aggregate(F.slice("_b", 2, F.greatest(F.size("_b") - 1, F.lit(1))), F.slice("_b", 1, 1), pack).alias("_p"))
+    return parts.select(*keys, F.size("_p").alias("n_parts"), F.posexplode("_p").alias("_i", "text")).select(*keys, (F.col("_i") + 1).alias("part"), "n_parts", "text")

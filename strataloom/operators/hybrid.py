@@ -81,3 +81,16 @@ def fits_budget(items: DataFrame, group: list[str], order: list[str], size: str,
 
     rows = items.select(*group, *order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size)).where(F.col(size) <= budget)
     return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, rows.schema)
+
+
+def trim_budget(items: DataFrame, group: list[str], order: list[str], text: str, budget: int) -> DataFrame:
+    """Items in order until `budget` characters are used; the one that overflows is trimmed, the rest left out."""
+    before = F.coalesce(F.sum(F.char_length(text)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return items.where(F.col(text).isNotNull()).withColumn("_u", before).where(F.col("_u") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_u")).cast("int"))).drop("_u")
+
+
+def first_seen_terms(hits: DataFrame, query: str, terms: str, order: list[Column], most_hits: int = 10, k: int = 3) -> DataFrame:
+    """Follow-up terms of a query: the first k distinct ones of its best hits' arrays."""
+    top = top_per_group(hits, [query], order, most_hits)
+    each = top.select(query, "rank", F.posexplode(terms).alias("pos", "term")).where("term <> ''").groupBy(query, "term").agg(F.min(F.struct("rank", "pos")).alias("at"))
+    return each.withColumn("n", F.row_number().over(Window.partitionBy(query).orderBy("at", "term"))).where(F.col("n") <= k).select(query, "n", "term")

@@ -76,7 +76,8 @@ def code_imports(spark, d):
 
 def call_edges(spark, d):
     t = cut(_texts(spark, d))  # read twice below
-    return parsers.resolve_calls(parsers.calls(t, ["file_path"]), parsers.symbols(t, ["file_path"]), "file_path")
+    links = parsers.resolve_imports(parsers.imports(t, ["file_path"]), t.select("file_path"), "file_path")
+    return parsers.resolve_calls(parsers.calls(t, ["file_path"]), parsers.symbols(t, ["file_path"]), "file_path", links)
 
 
 _F = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY archived_at DESC, content_hash DESC) AS rn FROM files) WHERE rn = 1)"

@@ -151,3 +151,11 @@ def expand_renames(changes: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("path"), s.alias("st")))
     )
     return changes.select("pos", F.posexplode(rows).alias("sub", "r")).groupBy(F.col("r.path").alias("path")).agg(F.max_by("r.st", F.struct("pos", "sub")).alias("status"))
+
+
+def json_cases(texts: DataFrame, schema: str, text: str = "text") -> DataFrame:
+    """Rows of JSON documents that are a list, or an object with the list under cases or results; other documents have none."""
+    kind = f"array<struct<{schema}>>"
+    whole = F.from_json(text, kind)
+    rows = F.coalesce(F.from_json(F.get_json_object(text, "$.cases"), kind), F.from_json(F.get_json_object(text, "$.results"), kind), F.when(F.ltrim(F.col(text)).startswith("["), whole))
+    return texts.select(*[c for c in texts.columns if c != text], F.explode(rows).alias("_r")).select("*", "_r.*").drop("_r")

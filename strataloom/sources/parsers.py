@@ -92,14 +92,29 @@ def routes(files: DataFrame, keys: list[str]) -> DataFrame:
     return _lines(files, keys).withColumn("_r", hit).where("_r is not null").select(*keys, "line_no", "_r.*")
 
 
-def resolve_calls(found_calls: DataFrame, syms: DataFrame, file: str) -> DataFrame:
-    """edges (caller_file, callee_file, callee_symbol, call_kind, n_sites): a call means the symbol of its own file, else the one symbol of that name anywhere; a name that several
-    files define, or none, is external (callee_file '')."""
-    own = syms.select(F.col(file).alias("caller_file"), F.col("name").alias("callee_symbol")).distinct().withColumn("_own", F.lit(True))
-    one = syms.select(F.col(file).alias("_f"), F.col("name").alias("callee_symbol")).distinct().groupBy("callee_symbol").agg(F.count("*").alias("_n"), F.min("_f").alias("_f"))
+def enclosing(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """symbols with `owner`: the innermost class whose lines hold the symbol's first line, '' if none. A class's own lines must be known (start_line, end_line)."""
+    c = symbols.where("kind = 'class'").select(*keys, F.col("name").alias("_o"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    s = symbols.withColumn("_id", F.struct("name", "start_line"))
+    inside = s.join(c, keys).where((F.col("_a") < F.col("start_line")) & (F.col("start_line") <= F.col("_b")))
+    best = inside.groupBy(*keys, "_id").agg(F.max_by("_o", F.struct("_a", -F.col("_b"))).alias("owner"))
+    return s.join(best, [*keys, "_id"], "left").withColumn("owner", F.coalesce("owner", F.lit(""))).drop("_id")
+
+
+def resolve_calls(found_calls: DataFrame, syms: DataFrame, file: str, links: DataFrame | None = None) -> DataFrame:
+    """edges (caller_file, callee_file, callee_symbol, call_kind, n_sites). A call means, in this order: the symbol of its own file; that of the one file it imports that has the name
+    (links: file, target, where given); the one symbol of that name anywhere. A name that is left with several files, or none, is external (callee_file '')."""
     sites = found_calls.groupBy(F.col(file).alias("caller_file"), F.col("callee").alias("callee_symbol")).agg(F.count("*").alias("n_sites"))
+    defs = syms.select(F.col(file).alias("_f"), F.col("name").alias("callee_symbol")).distinct()
+    own = defs.select(F.col("_f").alias("caller_file"), "callee_symbol", F.lit(True).alias("_own"))
+    one = defs.groupBy("callee_symbol").agg(F.count("*").alias("_n"), F.min("_f").alias("_any"))
     j = sites.join(own, ["caller_file", "callee_symbol"], "left").join(one, "callee_symbol", "left")
-    target = F.when(F.col("_own"), F.col("caller_file")).when(F.col("_n") == 1, F.col("_f")).otherwise("")
+    if links is None:
+        j = j.withColumn("_imp", F.lit(None).cast("string"))
+    else:
+        via = sites.select("caller_file", "callee_symbol").join(links.select(F.col(file).alias("caller_file"), F.col("target").alias("_f")), "caller_file").join(defs, ["_f", "callee_symbol"])
+        j = j.join(via.groupBy("caller_file", "callee_symbol").agg(F.when(F.count("*") == 1, F.min("_f")).alias("_imp")), ["caller_file", "callee_symbol"], "left")
+    target = F.when(F.col("_own"), F.col("caller_file")).when(F.col("_imp").isNotNull(), F.col("_imp")).when(F.col("_n") == 1, F.col("_any")).otherwise("")
     return j.select("caller_file", target.alias("callee_file"), "callee_symbol", F.when(target == "", "external").otherwise("local").alias("call_kind"), "n_sites")
 
 

@@ -209,3 +209,44 @@ def test_same_result_for_any_number_of_partitions(spark, data, n):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(got) == 1200
+
+
+def test_bounded_sample(spark):
+    from strataloom.session import bounded_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    a = [x.k for x in bounded_sample(df, ["k"], 300).collect()]
+    b = [x.k for x in bounded_sample(df.repartition(7), ["k"], 300).collect()]
+    assert sorted(a) == sorted(b) and 200 < len(a) <= 300
+    assert bounded_sample(df.limit(20), ["k"], 300).count() == 20 and bounded_sample(df.limit(0), ["k"], 300).count() == 0
+
+
+def test_enclosing_and_import_evidence(spark):
+    s = spark.createDataFrame([("f", "A", "class", 1, 20), ("f", "B", "class", 5, 10), ("f", "m", "function", 6, 7), ("f", "n", "function", 12, 13), ("f", "z", "function", 30, 31)], "file_path string, name string, kind string, start_line int, end_line int")
+    assert {x.name: x.owner for x in parsers.enclosing(s, ["file_path"]).collect()} == {"A": "", "B": "A", "m": "B", "n": "A", "z": ""}
+    syms = spark.createDataFrame([("a", "go"), ("b", "go"), ("c", "run"), ("d", "run"), ("c", "solo")], "file_path string, name string")
+    calls = spark.createDataFrame([("x", "go"), ("x", "run"), ("x", "solo"), ("a", "go"), ("x", "none")], "file_path string, callee string")
+    links = spark.createDataFrame([("x", "b"), ("x", "c"), ("x", "d")], "file_path string, target string")
+    got = {(x.caller_file, x.callee_symbol): x.callee_file for x in parsers.resolve_calls(calls, syms, "file_path", links).collect()}
+    assert got == {("x", "go"): "b", ("x", "run"): "", ("x", "solo"): "c", ("a", "go"): "a", ("x", "none"): ""}
+
+
+@pytest.mark.parametrize("limit", [5, 12, 40])
+def test_split_sections(spark, limit):
+    texts = ["one\n\ntwo three\n\n" + "x" * 30 + "\nshort\n\nend", "a", "", "\n\n", None, "word " * 20]
+    got = {}
+    for x in chunking.split_sections(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", ["k"], limit).orderBy("k", "part").collect():
+        got.setdefault(x.k, []).append(x.text)
+        assert 0 < len(x.text) <= limit
+    assert got.keys() == {0, 1, 5}
+    for k, parts in got.items():
+        assert "".join("".join(parts).split()) == "".join(texts[k].split())
+
+
+def test_budgets_and_follow_ups(spark):
+    t = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "bbbb"), (1, 3, "cccc"), (2, 1, None)], "g int, o int, t string")
+    assert [x.t for x in hybrid.trim_budget(t, ["g"], ["o"], "t", 6).orderBy("o").collect()] == ["aaaa", "bb"]
+    h = spark.createDataFrame([(1, 0.9, ["b", "a"]), (1, 0.8, ["a", "", "c", "d"])], "q int, s double, terms array<string>")
+    assert [x.term for x in hybrid.first_seen_terms(h, "q", "terms", [F.desc("s")], 10, 3).orderBy("n").collect()] == ["b", "a", "c"]
+    j = spark.createDataFrame([(1, '[{"a": 1}]'), (2, '{"cases": [{"a": 2}, {"a": 3}]}'), (3, '{"results": [{"a": 4}]}'), (4, "x"), (5, "{}")], "k int, text string")
+    assert {(x.k, x.a) for x in archive.json_cases(j, "a int").collect()} == {(1, 1), (2, 2), (2, 3), (3, 4)}

@@ -32,18 +32,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only in local mode, where that is unset (as in tests), a temporary folder is made and removed at
-    exit; a cluster without the setting is refused, as a folder of one machine wouldn't do."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, in local mode (as in tests) a temporary folder is made and removed at exit; a
+    cluster uses a folder in its warehouse, which all its machines reach, never one of a single machine."""
     jsc = spark.sparkContext._jsc.sc()
     have = jsc.getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="strataloom-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            named = tempfile.mkdtemp(prefix="strataloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        else:
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strataloom"
     spark.sparkContext.setCheckpointDir(named)
     return named
 

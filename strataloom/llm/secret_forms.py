@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from typing import NamedTuple
 
 #: Words for a password, and words that with "key" name a credential.
@@ -60,21 +61,31 @@ def _hot_lines(text: str) -> list[int]:
     return sorted(starts)
 
 
-_Q = r"(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)"
-_KEY = r"([A-Za-z_$À-ɏ][\w$.\-À-ɏ]*)"
+# Patterns begin at the start of a run of name characters and don't give back what only one reading allows, so that a long line takes linear time.
+_Q = r"(?:\"((?:[^\"\\\n]++|\\.)*+)\"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)"
+_KEY = r"([A-Za-z_$À-ɏ][\w$.\-À-ɏ]*+)"
+_NAMED = rf"(?<![\w$.\-À-ɏ])(?:(?![A-Za-z_$À-ɏ])[\w$.\-])*+{_KEY}[\"'`]?\s*+(?:\]\s*+)?"
 ASSIGN = re.compile(
-    rf"{_KEY}[\"'`]?\s*\]?\s*(?:(?::\s*[A-Za-z][\w.\[\]<>]*\s*=(?!=)|:=|=>|=|:)|(?<=[\"'`]),(?=\s*[\"'`]))\s*(?:\(\s*)?(?:[fbruFBRU]{{1,2}}(?=[\"'`]))?(?:{_Q}|([^\s\"'`(){{}}\[\]<>,][^\s\"'`(){{}}<>,]*)(?=\s*(?:$|\r|;|,|\}}|\"|'|`)|\s+(?:#|//)))",
+    rf"{_NAMED}(?:(?::\s*[A-Za-z][\w.\[\]<>]*\s*=(?!=)|:=|=>|=|:)|(?<=[\"'`]),(?=\s*[\"'`]))\s*(?:\(\s*)?(?:[fbruFBRU]{{1,2}}(?=[\"'`]))?(?:{_Q}|([^\s\"'`(){{}}\[\]<>,][^\s\"'`(){{}}<>,]*)(?=\s*(?:$|\r|;|,|\}}|\"|'|`)|\s+(?:#|//)))",
     re.M,
 )
-TAG = re.compile(rf"(?:key|name|Name|Key)\s*[=:]\s*\"{_KEY}\"\s*,?\s*\"?(?:value|Value)\"?\s*[=:]\s*\"([^\"\n]*)\"|<{_KEY}>([^<>\s]{{4,}})</")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://([^\s/:@'\"`<>]*):([^\s/@'\"`]+)@(?=[\w\[.\-$%{])")
+_NAME = re.compile(rf"{_NAMED}(?=[:=,])")
+_SIMPLE = re.compile(r"(?:=>|:=|[=:,])\s*+(?:\(\s*+)?")
+_TYPED = re.compile(r":\s*+[A-Za-z][\w.\[\]<>]*+\s*+=(?!=)\s*+")
+_RUN = re.compile(r"[^\s\"'`(){}\[\]<>,][^\s\"'`(){}<>,]*+")
+TAG = re.compile(rf"(?:key|name|Name|Key)\s*[=:]\s*\"{_KEY}\"\s*+(?:,\s*+)?\"?(?:value|Value)\"?\s*[=:]\s*\"([^\"\n]*)\"|<{_KEY}>([^<>\s]{{4,}})</")
+URL = re.compile(r"(?<![A-Za-z0-9+.\-])[0-9+.\-]*+[A-Za-z][A-Za-z0-9+.\-]*+://([^\s/:@'\"`<>]*):([^\s/@'\"`]+)@(?=[\w\[.\-$%{])")
 CONN = re.compile(r"(?i)(?<![\w.])((?:password|pwd|accountkey|sharedaccesskey|secret))\s*=\s*([^;\"'`\s]+)")
 HEADER = re.compile(r"\b(Bearer|Token|Basic|ApiKey|Api-Key)\s+([A-Za-z0-9._~+/=\-]{8,})")
-CLI = re.compile(
-    r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]*?\s-p([^\s\"'`]{4,})|\bredis-cli\b[^\n|;]*?\s-a\s+[\"']?([^\s\"'`]{4,})|\b(?:curl|wget|http)\b[^\n|;]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"'`]+:([^\s\"'`]{4,})"
-    r"|\bsshpass\b[^\n|;]*?\s-p\s*[\"']?([^\s\"'`]{4,})|--(?:password|passwd|pass|token|secret|api-key|auth-token|access-token|client-secret)[ =][\"']?([^\s\"'`\-][^\s\"'`]{3,})|\bpass:([^\s\"'`]{4,})"
-    r"|\bldap\w+\b[^\n|;]*?\s-w\s+([^\s\"'`]{4,})|\bdocker\s+login\b[^\n|;]*?\s-p\s+([^\s\"'`]{4,})"
-)
+#: A command and the flag before its password.
+_COMMANDS = (
+    (r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b", r"\s-p([^\s\"'`]{4,})"), (r"\bredis-cli\b", r"\s-a\s+[\"']?([^\s\"'`]{4,})"), (r"\b(?:curl|wget|http)\b", r"\s(?:-u|--user)[ =]?[\"']?[^\s:\"'`]+:([^\s\"'`]{4,})"),
+    (r"\bsshpass\b", r"\s-p\s*[\"']?([^\s\"'`]{4,})"), (r"\bldap\w+\b", r"\s-w\s+([^\s\"'`]{4,})"), (r"\bdocker\s+login\b", r"\s-p\s+([^\s\"'`]{4,})"),
+)
+_FLAG = r"--(?:password|passwd|pass|token|secret|api-key|auth-token|access-token|client-secret)[ =][\"']?([^\s\"'`\-][^\s\"'`]{3,})|\bpass:([^\s\"'`]{4,})"
+CLI = re.compile("|".join([*(rf"{c}[^\n|;]*?{f}" for c, f in _COMMANDS[:4]), _FLAG, *(rf"{c}[^\n|;]*?{f}" for c, f in _COMMANDS[4:])]))
+_APART = [(re.compile(c), re.compile(f)) for c, f in _COMMANDS]
+_ALONE = re.compile(_FLAG)
 NETRC = re.compile(r"\blogin\s+\S+\s+password\s+([^\s\"'`]+)")
 _WORDS_RE = "|".join(sorted([*PASSWORD_WORDS, "mot de passe", "secret", "token", "key"], key=len, reverse=True))
 PROSE = re.compile(rf"(?i)\b({_WORDS_RE})\b\s*(?:was|is|are|war|ist|es|est|:|->|—)\s*[\"'`]?([^\s\"'`,()]{{6,}})")
@@ -82,6 +93,7 @@ _ANY_WORD = re.compile(rf"(?i)\b({_WORDS_RE})\b")
 LATER = re.compile(rf"(?i)\b({_WORDS_RE})\b(?:[\w ,]{{0,30}}:)?\s+[\"'`]?((?=[^\s]*\d)(?=[^\s]*[a-z])[A-Za-z0-9_\-+/=.]{{16,}})")
 LOGIN = re.compile(r"(?i)\b(login|user|account|credentials?)\s+\S+\s*(?:/|:|with)\s*[\"'`]?([^\s\"'`,()]{6,})")
 ENV = re.compile(r"(?<![\w$.])([A-Z][A-Z0-9_]{2,})=([^\s\"'`$]{4,})[ \t]+(?=[a-z])")
+_LAST = re.compile(r"(?<![^\s\"'`$])[^\s\"'`$]++[ \t]++(?=[a-z])")
 _PIECE = re.compile(rf"\s*(?:[+.&|]{{1,2}}|\\)?[ \t]*(?:\n[ \t]*(?:[#/;*]+[ \t]*)?)?(?:[+.&]{{1,2}})?\s*{_Q}")
 _GLUE = re.compile(r"[+.&]|\n")
 _NAME_LINE = re.compile(rf"^\s*[#;/*]*\s*(?:-\s+)?[\"']?(?:name|key)[\"']?\s*:\s*[\"']?{_KEY}[\"']?\s*,?\s*$")
@@ -136,6 +148,67 @@ _ENDS = ("password", "passwd", "passphrase", "passwort", "kennwort", "secret", "
 _PW, _TK, _KO = frozenset(PASSWORD_WORDS), frozenset(TOKEN_WORDS), frozenset(KEY_OF)
 
 
+#: Lines over this length are searched by the functions below, which find the same in linear time.
+LONG = 600
+#: On such a line a bare value is named by a word of its key or by one at most so many characters before it, as far as on a shorter line.
+NEAR = 600
+
+
+def _assigns(text: str, start: int, end: int) -> Iterator[re.Match]:
+    """The matches of ASSIGN within a line."""
+    if end - start <= LONG:
+        yield from ASSIGN.finditer(text, start, end)
+        return
+    at, dead = start, -1  # no bare value begins before `dead`: one that began earlier ran up to there and had no good end
+    for k in _NAME.finditer(text, start, end):
+        if k.start() < at:
+            continue
+        s = _SIMPLE.match(text, k.end(), end)
+        if s.end() < dead and not ((t := _TYPED.match(text, k.end(), end)) and t.end() >= dead):
+            continue
+        if u := ASSIGN.match(text, k.start(), end):
+            at = u.end()
+            yield u
+        elif r := _RUN.match(text, s.end(), end):
+            dead = max(dead, r.end())
+
+
+def _commands(line: str) -> Iterator[tuple[str, int, int]]:
+    """(first word, start and end of the value) of the matches of CLI."""
+    if len(line) <= LONG:
+        for u in CLI.finditer(line):
+            k = next(i for i, g in enumerate(u.groups(), 1) if g)
+            yield u[0].split()[0], u.start(k), u.end(k)
+        return
+    for u in _ALONE.finditer(line):
+        k = 1 if u[1] else 2
+        yield u[0].split()[0], u.start(k), u.end(k)
+    stops: list[int] | None = None
+    for command, flag in _APART:
+        heads = [(m.start(), m.end(), m[0].split()[0]) for m in command.finditer(line)]
+        if not heads:
+            continue
+        if stops is None:
+            stops = [m.start() for m in re.finditer("[|;]", line)]
+        at = 0
+        for f in flag.finditer(line):
+            n = bisect_left(stops, f.start())
+            h = bisect_left(heads, (max(at, stops[n - 1] if n else 0),))
+            if h < len(heads) and heads[h][1] <= f.start():
+                yield heads[h][2], f.start(1), f.end(1)
+                at = f.end()
+
+
+def _env(line: str) -> Iterator[re.Match]:
+    """The matches of ENV: its value is the end of a run of characters before a blank."""
+    if len(line) <= LONG:
+        yield from ENV.finditer(line)
+        return
+    for r in _LAST.finditer(line):
+        if u := ENV.search(line, r.start(), r.end() + 1):
+            yield u
+
+
 def candidates(text: str) -> list[Candidate]:
     """All values of a text that are written where or as a credential may be, one for each value."""
     found: dict[int, Candidate] = {}
@@ -145,14 +218,15 @@ def candidates(text: str) -> list[Candidate]:
         nonlocal breaks
         if spans[0][0] in found:
             return
-        if any(a < y and x < b for a, b in taken for x, y in spans):
+        if any((i := bisect_left(taken, (y,))) and taken[i - 1][1] > x for x, y in spans):
             return
         if breaks is None:
             breaks = [m.start() for m in re.finditer("\n", text)]
         found[spans[0][0]] = Candidate(bisect_right(breaks, at - 1) + 1 if at else 1, form, key, value, spans, comment)
-        taken.extend(spans)
+        for s in spans:
+            insort(taken, s)
 
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, without overlaps
     blocks: list[tuple[int, int]] = []
     if "-----BEGIN" in text:
         for m in BLOCK.finditer(text):
@@ -177,8 +251,6 @@ def candidates(text: str) -> list[Candidate]:
         if blocks and any(b[0] < start < b[1] for b in blocks):
             continue
         line = text[start:end]
-        if len(line) > 600 and not _SIGN.search(line):
-            continue
         comment = bool(re.match(r"\s*(?:#|//|;|\*|--|/\*|<!--)", line))
         for u in URL.finditer(line):
             add(start, "url", u[1], u[2], ((start + u.start(2), start + u.end(2)),), comment)
@@ -189,9 +261,8 @@ def candidates(text: str) -> list[Candidate]:
             if any(c.isdigit() for c in u[2]) or u[1] == "Basic" and ":" in (decoded(u[2]) or ""):
                 add(start, "header", u[1], u[2], ((start + u.start(2), start + u.end(2)),), comment)
         if "-" in line or "pass:" in line:
-            for u in CLI.finditer(line):
-                k = next(i for i, g in enumerate(u.groups(), 1) if g)
-                add(start, "cli", u[0].split()[0], u[k], ((start + u.start(k), start + u.end(k)),), comment)
+            for word, a, b in _commands(line):
+                add(start, "cli", word, line[a:b], ((start + a, start + b),), comment)
         if "login" in line:
             for u in NETRC.finditer(line):
                 add(start, "netrc", "password", u[1], ((start + u.start(1), start + u.end(1)),), comment)
@@ -199,10 +270,11 @@ def candidates(text: str) -> list[Candidate]:
             k = 2 if u[1] else 4
             if u[k] and _worth(u[k], u[k - 1]):
                 add(start, "tag", u[k - 1], u[k], ((start + u.start(k), start + u.end(k)),), comment)
-        for u in ENV.finditer(line):
+        for u in _env(line):
             if _worth(u[2], u[1]):
                 add(start, "cli", u[1], u[2], ((start + u.start(2), start + u.end(2)),), comment)
-        for u in ASSIGN.finditer(text, start, end):
+        words: list[re.Match] | None = None if len(line) > LONG else []
+        for u in _assigns(text, start, end):
             k = next((i for i in (2, 3, 4, 5) if u[i] is not None), 5)
             value, key = u[k], u[1]
             spans = [(u.start(k), u.end(k))]
@@ -222,8 +294,16 @@ def candidates(text: str) -> list[Candidate]:
                 if n := _NAME_LINE.match(prev):
                     key, form = n[1], "named"
             value = value.rstrip("\r")
-            if k == 5 and not names_credential(key) and (n := _ANY_WORD.search(text, start, u.start(1))):
-                key, form = n[1], "prose"  # as in "old key, rotate later: …"
+            if k == 5 and not names_credential(key):  # as in "old key, rotate later: …"
+                if words is None:
+                    words = list(_ANY_WORD.finditer(text, start, end))
+                if end - start <= LONG:
+                    n = _ANY_WORD.search(text, start, u.start(1))
+                else:
+                    i = bisect_left(words, u.start(1) - NEAR, key=lambda m: m.start())
+                    n = words[i] if i < len(words) and words[i].end() <= u.start(1) else None
+                if n:
+                    key, form = n[1], "prose"
             if k == 5:
                 value = value.rstrip(",;")
                 spans = [(spans[0][0], spans[0][0] + len(value))]
@@ -239,8 +319,6 @@ def candidates(text: str) -> list[Candidate]:
     return [found[k] for k in sorted(found)]
 
 
-_SIGN = re.compile(r"(?i)passw|secret|token|api_?key|://[^\s/:@]*:[^\s/@]+@|bearer|kennwort|contrase|-----BEGIN")
-
 PLACEHOLDER = re.compile(
     r"(?i)^[\W_]*$|^(?:x{3,}|\*{2,}|\.{3,}|-{3,}|_{3,})|[*x•]{5,}|^<.*>$|^\[.*\]$|^\{\{?.*\}?\}$|^(?:null|none|nil|undefined|true|false|todo|tbd|fixme|redacted|masked|hidden|empty|unset|changeme|change[-_]?me|change[-_]this|password|passwd|secret|token|"
     r"example|sample|default|dummy|test|foo|bar)$|changeme|change[-_ ]me|replace[-_ ]?(?:me|with|this)|placeholder|^your[-_]|[-_]here$|^(?:dummy|example|sample|fake|mock|insert|enter|put|some|my|the)[-_]|^not[-_]?(?:a[-_]?)?(?:real|set)|redacted|^%[\w]+%$|^0+$|^(.)\1{5,}$"

@@ -2,7 +2,8 @@
 
 A recursive hierarchy of separators: units (definitions of listed symbols, headings), paragraphs, lines, sentences, words, characters.
 A piece is packed greedily up to the last separator of the highest level that lies within the limit. A cut at a unit needs no overlap;
-any other repeats the last 20 lines before it, or 200 characters where it falls inside a line.
+any other repeats the last 20 lines before it, or 200 characters where it falls inside a line. Where 20 lines leave no room for the next line,
+as many as do are repeated, but 200 characters at least.
 """
 
 from __future__ import annotations
@@ -60,12 +61,16 @@ def cut_points(text: str, units: list[int], limit: int, lines: int, chars: int)
             start = at
         elif kind in ("paragraph", "line"):
             k = bisect_right(starts, at) - 1
-            back = max(k - lines, bisect_right(starts, start) - 1)
-            while back < k and (at - starts[back] > limit // 2 or starts[back] < start):
-                back += 1  # long lines: as many of them as leave half of the piece for what is new
-            start = starts[back]
+            back = max(k - lines, 0)  # also into the piece before, where this one is shorter
+            new = min((starts[k + 1] if k + 1 < len(starts) else len(text)) - at, limit - limit // 2)
+            while back < k and at - starts[back] > limit - new:
+                back += 1  # long lines: as many of them as leave room for the next line, or for half a piece where that is longer
+            if k - back < lines:
+                start = max(0, min(starts[back], at - min(chars, limit // 2)))
+            else:
+                start = starts[back]
         else:
-            start = max(start, at - min(chars, limit // 2))
+            start = max(0, at - min(chars, limit // 2))
     out.append((start, len(text), "end"))
     return out
 

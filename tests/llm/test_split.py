@@ -43,6 +43,21 @@ def test_overlap_of_lines_and_characters():
     assert ps[0][8] == "sentence" and ps[1][9] == 200
 
 
+def test_overlap_of_long_lines():
+    ps = cut("\n".join(f"line {i:03} " + "y" * 150 for i in range(100)), kind="artifact")  # 20 lines have 3,200 characters
+    assert all(a[8] == "line" and b[2][: b[9]].count("\n") == 20 for a, b in zip(ps, ps[1:]))
+    ps = cut("\n".join(f"line {i:03} " + "y" * 290 for i in range(60)), kind="artifact")  # 13 have 3,900
+    assert all(b[2][: b[9]].count("\n") == 12 for b in ps[1:])
+    ps = cut("\n".join("z" * 3000 for _ in range(5)), kind="artifact")
+    assert {p[8] for p in ps[:-1]} == {"line"} and {p[9] for p in ps[1:]} == {200}
+    ps = cut("\n".join(("z" * 3000, "short") * 5), kind="artifact")
+    assert len(ps) > 2 and all(p[9] >= 200 for p in ps[1:])
+    text = "".join(f"# H{i}\n" + f"text {i}\n" * 30 + "\n" for i in range(3)) + "# Last\n\n" + "y" * 3999 + "\n"
+    ps = cut(text, kind="doc_full")  # a piece of two lines, of which 20 lines before the cut are more
+    assert [p[8] for p in ps[:2]] == ["unit", "paragraph"] and ps[2][2][: ps[2][9]].count("\n") == 20
+    assert all(p[9] == 0 for p in cut("\n".join("z" * 3000 for _ in range(5)), kind="artifact", lines=0, chars=0))
+
+
 PY = '''import os
 # def a():
 class K(Base):

@@ -45,7 +45,7 @@ GENERATED = re.compile(
 )
 VENDORED = re.compile(
     r"(?i)\bvendored (?:from|copy)\b|\bthird[- ]party (?:component|code|library|copy)\b|\bcopy of \S+ \S+ is bundled\b|\bcopied (?:verbatim )?from upstream\b|\bfrom upstream \S+, (?:release|version)\b"
-    r"|^\W*[a-z][\w.-]* v?\d+\.\d+(?:\.\d+)?(?:[+-]\w[\w.]*)?\s*(?:\||-|$)|@license\b|@version\b|\(c\) [\w .-]+ contributors\b|^\W*[a-z][\w.-]* - https?://\S+\s*$",
+    r"|^[^\w\n]*+[a-z][\w.-]* v?\d+\.\d+(?:\.\d+)?(?:[+-]\w[\w.]*)?\s*(?:\||-|$)|@license\b|@version\b|\(c\) [\w .-]+ contributors\b|^[^\w\n]*+[a-z][\w.-]* - https?://\S+\s*$",
     re.M,
 )
 _NUMBER = re.compile(rb"(?<![\w.])(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?)(?![\w.])")
@@ -54,6 +54,7 @@ _RUN = re.compile(rb"[A-Za-z0-9+/=]{60,}|(?:\\x[0-9a-fA-F]{2}){15,}|[0-9a-fA-F]{
 _BLANKS = b" \t\r\n\f\v"
 _NOT_ALNUM = bytes(i for i in range(128) if not chr(i).isalnum())
 _COMMENT = re.compile(r"\s*(?://|#|/?\*|--|;|<\?php|<!--|\"\"\"|'''|$)")
+_CLOSE = {"/*": "*/", "<!--": "-->"}
 
 #: A dir or name that says it without a look at the content.
 VENDOR_PATH = r"(?i)(^|/)(vendor|vendors|third[-_]?party|node_modules|bower_components|external|externals|libs|site-packages)/"
@@ -78,13 +79,22 @@ def inflate(data: bytes | None) -> bytes | None:
     return out or None
 
 
-def leading_comment(text: str, most: int = 25) -> str:
-    """The comment lines at the top."""
-    out = []
-    for line in text.lstrip("﻿").split("\n", most)[:most]:
-        if not _COMMENT.match(line):
-            break
+def leading_comment(text: str) -> str:
+    """The comment lines at the top, blocks that have no mark on each line among them."""
+    text = text.lstrip("\ufeff")
+    out, at, close = [], 0, ""
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line, after = text[at:end], 0
+        if not close:
+            if not (m := _COMMENT.match(line)):
+                break
+            close, after = _CLOSE.get(m[0].strip(), ""), m.end()
+        if close and line.find(close, after) >= 0:
+            close = ""
         out.append(line.rstrip("\r"))
+        at = end + 1
     return "\n".join(out)
 
 
@@ -97,7 +107,7 @@ def layout(raw: bytes) -> tuple:
     solid = len(raw.translate(None, _BLANKS))
     encoded = sum(len(x) for x in _RUN.findall(raw))
     alnum = len(raw.translate(None, _NOT_ALNUM))
-    head = leading_comment(raw[:8192].decode("utf-8", "replace"))
+    head = leading_comment(raw.decode("utf-8", "replace"))
     return (
         n, sum(lines) / max(1, len(lines)), max(lines, default=0), 1 - solid / max(1, n), alnum / max(1, solid),
         numbers / max(1, numbers + words), encoded / max(1, n), bool(GENERATED.search(head)), bool(VENDORED.search(head)),

@@ -57,3 +57,10 @@ def test_layout_of_odd_contents():
     assert inflate(None) is None and inflate(b"") is None and inflate(b"junk") is None
     assert layout(b"")[0] == 0 and layout("﻿".encode())[0] == 0 and layout(b"\xff\xfe\x00" * 50)[2] == 150
     assert layout(b"a" * 3_000_000)[2] == 3_000_000
+
+
+@pytest.mark.parametrize("top", ["// line of a licence\n" * 40, "/*\n" + "Redistribution and use in source and binary forms are permitted.\n" * 300 + "*/\n", "# " + "x" * 9000 + "\n", "\n//\n" * 20_000])
+def test_notice_after_a_long_licence(top):
+    assert layout((top + "// Code generated by tool. DO NOT EDIT.\n" + HAND).encode())[7:] == (True, False)
+    assert layout((top + "// Thing v2.3.0+4384d410cd\n" + HAND).encode())[7:] == (False, True)
+    assert layout((top + HAND + "// Code generated by tool. DO NOT EDIT.\n").encode())[7:] == (False, False)

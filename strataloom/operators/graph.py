@@ -100,12 +100,12 @@ def cluster_links(edges: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def closure(members: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(members: DataFrame, start: DataFrame) -> DataFrame:
     """The smallest set of (grp, item) that holds every group of a start item (item), every item of such a group, and so on."""
     m = cut(members.select("grp", "item").distinct())
     items = cut(start.select("item").distinct())
     n = -1
-    for _ in range(rounds):
+    while True:
         groups = m.join(items, "item", "left_semi").select("grp").distinct()
         items = cut(m.join(groups, "grp", "left_semi").select("item").distinct().unionAll(items).distinct())
         if (now := items.count()) == n:

@@ -8,6 +8,7 @@ key that holds a third of all rows is spread over its days. What earlier days le
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def resolve(refs: DataFrame, targets: DataFrame, bin: str = "day") -> DataFrame:
     return rows.withColumn("live", F.coalesce(alive, F.lit(False))).where("kind = 1").select("key", "at", "p.*", "live").drop("__pad")
 
 
-def cascade(links: DataFrame, dead: DataFrame, rounds: int = 100, salt: int = 8) -> DataFrame:
+def cascade(links: DataFrame, dead: DataFrame, salt: int = 8) -> DataFrame:
     """(tab, key, depth) of every orphaned record: depth 0 for `dead` (tab, key), n for those whose nearest dead ancestor is n links up.
 
     links: child_table, child_key, parent_table, parent_key, for live references. Each round semi-joins the links with the records that
@@ -81,7 +82,9 @@ def cascade(links: DataFrame, dead: DataFrame, rounds: int = 100, salt: int = 8)
     salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt")
     fresh = cut(dead.select("tab", "key").distinct().withColumn("depth", F.lit(0)))
     found = [fresh]
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
+        if len(found) > 50:
+            found = [cut(reduce(DataFrame.unionByName, found))]
         parents = fresh.select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), salts)
         known = reduce(DataFrame.unionByName, found).select("tab", "key")
         fresh = cut(

@@ -110,3 +110,9 @@ def test_find_orphans_direct_and_inherited(spark):
     assert find_orphans(refs.withColumn("live", F.lit(1)).withColumn("kind", F.lit(2)).withColumn("bin", F.lit(3)).withColumn("status", F.lit(4)), targets).where("status = 'direct' and kind = 2 and bin = 3 and until = 'x'").count() == 3
     assert find_orphans(refs.limit(0), targets).count() == 0 and find_orphans(refs, targets.limit(0)).where("status <> 'direct'").count() == 0
     assert got == {("f1", "h1"): "direct", ("f2", "h2"): "sound", ("c1", "f1"): "inherited", ("c2", "f2"): "sound", ("c3", "f9"): "direct", ("c3", None): "direct"}
+
+
+def test_cascade_down_a_long_chain(spark):
+    links = spark.createDataFrame([("a", i + 1, "a", i) for i in range(103)], "child_table string, child_key int, parent_table string, parent_key int").coalesce(1)
+    got = cascade(links, spark.createDataFrame([("a", 0)], "tab string, key int"), salt=1)
+    assert {(x.key, x.depth) for x in got.collect()} == {(i, i) for i in range(104)}

@@ -198,6 +198,11 @@ def test_sources(spark, tmp_path):
     assert [(x.method, x.path, x.summary) for x in archive.openapi_endpoints(spec).collect()] == [("GET", "/u", "s")]
 
 
+def test_closure_over_a_long_chain(spark):
+    m = spark.createDataFrame([(g, g + k) for g in range(103) for k in (0, 1)], "grp int, item int").coalesce(1)
+    assert graph.closure(m, spark.createDataFrame([(0,)], "item int")).select("grp").distinct().count() == 103
+
+
 @pytest.mark.parametrize("n", [1, 7])
 def test_same_result_for_any_number_of_partitions(spark, data, n):
     from strataloom.plans import retrieval

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import bounded_sample, cut
 
 BUCKETS, PAIRS, DIM = 1 << 15, 1 << 14, 16
-_FENCE = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[ \t]*$|\Z)")
+_FENCE = re.compile(r"(?m)^[ \t]*(`{3,}+|~{3,}+)([^\n]*)")
 #: Lines of code that aren't comments; they hold no sentences.
 _CODE = re.compile(
     r"(?m)^[ \t]*(?:(?:async\s+)?def\s|return\b|import\s|from\s+\S+\s+import\b|class\s+\w+\s*[:({]|func\s|(?:export\s+)?(?:function|const|let|var)\s|(?:public|private|protected)\s|git\s|make\s|[\w.$\[\]'\"]+\s*(?::?=|\+=)\s).*$"
@@ -30,10 +30,35 @@ _CODE_SIGNS = (" = ", "def ", "return ", "import ", "function ", "const ", "{",
 _TOKEN = re.compile(r"[A-ZÀ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-Þ]+(?![a-zß-öø-ÿ])|[^\W\d_]+|\d+|[.!?]+(?=\s)|\n(?![ \t]*(?:[#/*>;]+[ \t]*)?[a-zß-öø-ÿ])|\n[ \t]*\n")
 
 
+def _unfenced(text: str) -> str:
+    """The text without fenced blocks. A block ends at a bare fence of its mark that is at least as long; a fence that nothing closes is a single line."""
+    marks = list(_FENCE.finditer(text))
+    longest = {"`": 0, "~": 0}
+    after = []  # the longest bare fence of the same mark further down
+    for m in reversed(marks):
+        c = m[1][0]
+        after.append(longest[c])
+        if not m[2].strip():
+            longest[c] = max(longest[c], len(m[1]))
+    after.reverse()
+    out, at, i = [], 0, 0
+    while i < len(marks):
+        m = marks[i]
+        out.append(text[at : m.start()])
+        if after[i] >= len(m[1]):
+            i += 1
+            while marks[i][1][0] != m[1][0] or len(marks[i][1]) < len(m[1]) or marks[i][2].strip():
+                i += 1
+        at = marks[i].end()
+        i += 1
+    out.append(text[at:])
+    return "\n".join(out)
+
+
 def tokens(text: str) -> list[str]:
     """Words and sentence ends of a text. Fenced blocks and lines of code are left out; comment marks, bullets and line breaks inside a sentence end nothing."""
     if "``" in text or "~~~" in text:
-        text = _FENCE.sub("\n", text)
+        text = _unfenced(text)
     if any(x in text for x in _CODE_SIGNS):
         text = _CODE.sub("", text)
     return _TOKEN.findall(text)

@@ -68,3 +68,8 @@ def test_labels_and_empty_tables(spark, tables):
     assert all(s is None or s in TERMS for _, s in got) and not any(i is None for i, _ in got)
     m = train_subjects(d.limit(0), lab.limit(0), sub)
     assert tag_subjects(d.limit(0), m).count() == 0
+
+
+@pytest.mark.parametrize("block", ["```py\r\nhidden\r\n```\r\n", "```\nhidden\n`````\n", "~~~\n```\nhidden\n~~~~ \n", "````\n```\nhidden\n````\n", "```\nhidden\n```\n```py\n", "~~~~\n"])
+def test_text_after_any_fence_is_read(block):
+    assert [x for x in tokens("One before.\n" + block + "Two after.\n") if x.isalpha()] == ["One", "before", "Two", "after"]

@@ -103,6 +103,16 @@ def test_long_line_in_linear_time(unit):
     assert time.process_time() - began < 10
 
 
+def test_many_pieces_and_long_values(model):
+    r = random.Random(4)
+    parts = ["".join(r.choice("abcdefgHIJKLMN0123456789") for _ in range(6)) for _ in range(30)]
+    clean, n = redact_text("api_key = (" + "\n    + ".join(f'"{x}"' for x in parts) + ")\n", model)
+    assert n == 1 and not any(x in clean for x in parts)
+    store = base64.b64encode(r.randbytes(6000)).decode()
+    clean, n = redact_text(f'keystorePassword_B64 = "{store}"\n', model)
+    assert n == 1 and store not in clean
+
+
 REC = "src_table string, record_key string, path string, text string, gz binary, form string, score double"
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .handmade import classify_files, made_report
 from .leak import find_leaks, leak_report
 from .mixing import Mix, interleaved, mix_sources
-from .secrets import archive_records, extract, find_secrets, redact, train
+from .secrets import archive_records, content_paths, extract, find_secrets, redact, train, with_paths
 from .split import split_oversized
 from .subjects import composition, tag_subjects, train_subjects
 
@@ -20,13 +20,15 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a credential starts."""
-    return find_secrets(_records(spark, sf_dir)).select("src_table", "record_key", "line_no").distinct()
+    return find_secrets(_records(spark, sf_dir), content_paths(table(spark, sf_dir, "files"))).select("src_table", "record_key", "line_no").distinct()
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that held credentials, without them."""
-    records = _records(spark, sf_dir)
-    return redact(records, train(extract(records))).where("n_redacted > 0").dropDuplicates(["src_table", "record_key", "redacted"])
+    records, paths = _records(spark, sf_dir), content_paths(table(spark, sf_dir, "files"))
+    model = train(cut(extract(records, paths)))
+    clean = redact(with_paths(records, paths), model).where("n_redacted > 0")
+    return clean.withColumn("h", F.sha2("redacted", 256)).dropDuplicates(["src_table", "record_key", "h"]).drop("h")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

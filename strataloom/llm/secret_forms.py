@@ -30,10 +30,11 @@ BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----.*?(?:-----END \1-----|(?=-----
 _BODY = re.compile(r"(?:\\[nr]|[\s\"'+,;:#/*.|>\-`()\\])*[A-Za-z0-9+/=]{24,}")
 _BODY_PIECE = re.compile(r"[A-Za-z0-9+/=]{8,}")
 
-#: A line is looked at if a letter or mark stands before a digit, or one of these words is in it.
-_DIGIT = re.compile(r"[A-Za-z#_!%+^&$\-]\d")
-_HINTS = ("pass", "pwd", "pw", "secret", "token", "kennwort", "contrase", "mot_de", "motde", "clave", "senha", "parola", "wachtwoord", "heslo", "mysql", "redis-cli", "curl ", "-----begin", "auth", "://", "key", "cred", "login", "value")
-_HINTED = re.compile(r"(?i)pass|pwd|pw\b|secret|kennwort|contrase|mot_?de|clave|senha|parola|wachtwoord|heslo|mysql|redis-cli|curl\s|-----begin|authoriz|auth[\"'`\]]*\s*(?:[:=]|,\s*[\"'`])|\bvalue[\"']?\s*[:=]|://[^\s/:@]*:[^\s/@]+@|key[\"'`\]]*\s*(?:[:=]|,\s*[\"'`])|token[\"'`\]]*\s*(?:[:=]|,\s*[\"'`])|\bcred|login")
+#: A line is looked at if a letter stands next to a digit, with no more than marks between, as in every value that could be one under any name (see _worth), or if a word is in
+#: it that names, announces or introduces a credential.
+_DIGIT = re.compile(r"[^\W\d_](?:_|[^\w\s\"'`(){}\[\]<>,])*+\d|\d(?:_|[^\w\s\"'`(){}\[\]<>,])*+[^\W\d_]")
+_HINTS = ("pass", "pw", "secret", "token", "kennwort", "contrase", "mot_de", "motde", "mot de", "clave", "senha", "mdp", "parola", "wachtwoord", "heslo", "haslo", "lozinka", "salasana", "mysql", "mariadb", "redis-cli", "curl ", "-----begin", "auth", "://", "key", "cred", "login", "jwt", "assertion", "value")
+_HINTED = re.compile(r"(?i)pass|pw|secret|token|kennwort|contrase|mot[_ ]?de|clave|senha|mdp|parola|wachtwoord|heslo|haslo|lozinka|salasana|jwt|assertion|mysql|mariadb|redis-cli|curl\s|-----begin|auth|\bvalue[\"']?\s*[:=]|://[^\s/:@]*:[^\s/@]+@|(?:" + "|".join(KEY_OF) + r")[_\-. ]?key|key[\"'`\]]*\s*(?:[:=]|,\s*[\"'`])|cred|login")
 
 
 def _hot_lines(text: str) -> list[int]:
@@ -90,7 +91,9 @@ NETRC = re.compile(r"\blogin\s+\S+\s+password\s+([^\s\"'`]+)")
 _WORDS_RE = "|".join(sorted([*PASSWORD_WORDS, "mot de passe", "secret", "token", "key"], key=len, reverse=True))
 PROSE = re.compile(rf"(?i)\b({_WORDS_RE})\b\s*(?:was|is|are|war|ist|es|est|:|->|—)\s*[\"'`]?([^\s\"'`,()]{{6,}})")
 _ANY_WORD = re.compile(rf"(?i)\b({_WORDS_RE})\b")
-LATER = re.compile(rf"(?i)\b({_WORDS_RE})\b(?:[\w ,]{{0,30}}:)?\s+[\"'`]?((?=[^\s]*\d)(?=[^\s]*[a-z])[A-Za-z0-9_\-+/=.]{{16,}})")
+#: A word and, within 60 characters of prose, a run of letters and digits.
+NEARBY = re.compile(rf"(?i)\b({_WORDS_RE})\b[^\n\"'`=<>()\[\]{{}}]{{0,60}}?(?<![^\s\"'`:])[\"'`]?((?=[^\s]*\d)(?=[^\s]*[a-z])[A-Za-z0-9_\-+/=.]{{16,}})")
+#: A name and a value given as a pair.
 LOGIN = re.compile(r"(?i)\b(login|user|account|credentials?)\s+\S+\s*(?:/|:|with)\s*[\"'`]?([^\s\"'`,()]{6,})")
 ENV = re.compile(r"(?<![\w$.])([A-Z][A-Z0-9_]{2,})=([^\s\"'`$]{4,})[ \t]+(?=[a-z])")
 _LAST = re.compile(r"(?<![^\s\"'`$])[^\s\"'`$]++[ \t]++(?=[a-z])")
@@ -113,19 +116,13 @@ def key_words(key: str) -> list[str]:
     return [w.lower() for w in _CAMEL.findall(key)]
 
 
+
+
 def _worth(v: str, key: str) -> bool:
-    """A value that could be a credential or stands where one could be."""
+    """A value that could be a credential: under a name that names one any of 4 characters, under another one of 6 with a letter next to a digit."""
     if len(v) < 4 or " " in v or "\t" in v:
         return False
-    letters = digits = other = 0
-    for c in v[:64]:
-        if c.isdigit():
-            digits += 1
-        elif c.isalpha():
-            letters += 1
-        else:
-            other += 1
-    return len(v) >= 6 and (bool(letters and (digits or other)) or digits >= 16) or names_credential(key) and (digits + letters > 0 or other > 3)
+    return names_credential(key) or len(v) >= 6 and bool(_DIGIT.search(v))
 
 
 def names_credential(key: str) -> bool:
@@ -294,7 +291,7 @@ def candidates(text: str) -> list[Candidate]:
                 if n := _NAME_LINE.match(prev):
                     key, form = n[1], "named"
             value = value.rstrip("\r")
-            if k == 5 and not names_credential(key):  # as in "old key, rotate later: …"
+            if k == 5 and not names_credential(key):  # a word before the value may say what it is
                 if words is None:
                     words = list(_ANY_WORD.finditer(text, start, end))
                 if end - start <= LONG:
@@ -311,10 +308,10 @@ def candidates(text: str) -> list[Candidate]:
                 add(start, form, key, value, tuple(spans), comment)
         for u in KNOWN.finditer(line):
             add(start, "known", "", u[0], ((start + u.start(), start + u.end()),), comment)
-        for pattern in (PROSE, LATER, LOGIN):
+        for pattern in (PROSE, NEARBY, LOGIN):
             for u in pattern.finditer(line):
                 v = u[2].rstrip(".;:)!?" if not re.search(r"\d!$", u[2]) else ".;:)")
-                if _worth(v, "") and (any(c.isdigit() for c in v) or not wordy(v)):
+                if (_worth(v, "") or _worth(v, "password") and not wordy(v)) and any(c.isalpha() for c in v):
                     add(start, "prose", u[1], v, ((start + u.start(2), start + u.start(2) + len(v)),), comment)
     return [found[k] for k in sorted(found)]
 

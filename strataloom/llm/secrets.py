@@ -1,8 +1,8 @@
 """Credentials in source code, found and redacted (problem 1).
 
-Candidate values are taken from every text in whatever form they are written. Weak labels come from pattern matches; a logistic
-regression on character Markov likelihood, value shape, surrounding identifiers and path features is trained on a bounded sample of
-them, calibrated on held-out ones, and scores every candidate. What scores above the threshold is reported and redacted.
+Candidate values are taken from every text in whatever form they are written. Strict patterns label the clear cases among them and keep silent about the rest; a logistic
+regression on character Markov likelihood, value shape, surrounding identifiers and path features is trained on a bounded sample of the labelled ones,
+calibrated on held-out ones, and scores every candidate. What scores above the threshold is reported and redacted.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded_sample, cut
@@ -25,64 +25,89 @@ from .secret_forms import (
     ABOUT, HASHY, HEX, IDENT, KNOWN, PATHLIKE, PLACEHOLDER, PREFIX, REFERENCE, URLLIKE, UUID, Candidate, candidates, decoded, key_words, names_credential, wordy,
 )
 
-FORMS = ("url", "conn", "header", "cli", "netrc", "tag", "quoted", "bare", "pieces", "named", "known", "prose", "pem")
-#: Forms in which the key tells what the value is.
-KEYED = frozenset(("quoted", "bare", "pieces", "named", "tag"))
-_ALPHABET = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.+/=!@#$%^&*:~", 2)}
+#: Forms whose notation says that a secret stands there.
+TOLD = frozenset(("url", "conn", "cli", "netrc", "known", "pem"))
+_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.+/=!@#$%^&*:~"
 _SIZE = len(_ALPHABET) + 2  # 0: edge, 1: other
+_CODE = np.ones(256, np.int64)
+_CODE[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(2, _SIZE)
+#: Lengths of digests in hexadecimal digits.
+DIGESTS = (32, 40, 64, 96, 128)
 _CONFIG = frozenset("ini toml yaml yml json env properties cfg conf xml sh".split())
 _DOCS = frozenset("md mdx rst txt".split())
 
 
+_DIGITS, _UPPER, _LOWER = (dict.fromkeys(map(ord, x)) for x in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+_WORD_MARK_DIGITS = re.compile(r"[A-Za-z]+(?:[-_.#@][A-Za-z]+)*[-_.#@]?\d+!?$")
+_ALGORITHM = re.compile(r"(?i)(?:sha\d+|md5|sri|bcrypt|\$2[aby]\$|\$argon|pbkdf2)[:\-$]")
+_CALLS = re.compile(r"\w[.(\[]\w*[(\[]|->|::|\(\)")
+
+
 def shape(value: str) -> dict[str, float]:
+    """What the characters of a value look like, the whole value through."""
     n = len(value)
-    c = Counter(value)
-    digits = sum(x.isdigit() for x in value)
-    upper = sum(x.isupper() for x in value)
-    lower = sum(x.islower() for x in value)
-    text = decoded(value) if n >= 8 else None
-    inner = text.rsplit(":", 1)[-1] if text else None
+    digits, upper, lower = n - len(value.translate(_DIGITS)), n - len(value.translate(_UPPER)), n - len(value.translate(_LOWER))
+    classes = bool(digits) + bool(upper) + bool(lower) + (n > digits + upper + lower)
+    is_hex = bool(HEX.match(value))
     return {
-        "entropy": -sum(k / n * math.log2(k / n) for k in c.values()) / 6,
-        "digits": digits / n, "upper": upper / n, "lower": lower / n, "marks": (n - digits - upper - lower) / n, "no_digit": float(not digits),
-        "mixed": float(bool(digits and upper and lower)), "len<8": float(n < 8), "len<16": float(8 <= n < 16), "len<24": float(16 <= n < 24), "len<48": float(24 <= n < 48), "len>=48": float(n >= 48),
-        "hex": float(bool(HEX.match(value))), "digest_size": float(bool(HEX.match(value)) and n in (32, 40, 64, 96, 128)), "uuid": float(bool(UUID.match(value))),
-        "prefix": float(bool(KNOWN.search(value) or PREFIX.match(value))), "placeholder": float(bool(PLACEHOLDER.search(value) or inner and PLACEHOLDER.search(inner))),
-        "reference": float(bool(REFERENCE.search(value))), "path": float(bool(PATHLIKE.match(value)) and not _dense(value)), "url": float(bool(URLLIKE.match(value))), "number": float(value.replace(".", "").replace(",", "").isdigit()),
-        "word_mark_digits": float(bool(re.match(r"[A-Za-z]+(?:[-_.#@][A-Za-z]+)*[-_.#@]?\d+!?$", value))), "decodes": float(text is not None), "algorithm": float(bool(re.match(r"(?i)(?:sha\d+|md5|sri|bcrypt|\$2[aby]\$|\$argon|pbkdf2)[:\-$]", value))),
-        "code": float(bool(re.search(r"\w[.(\[]\w*[(\[]|->|::|\(\)", value))), "identifier": float(bool(IDENT.match(value)) and not digits and wordy(value)),
+        "entropy": -sum(k / n * math.log2(k / n) for k in Counter(value).values()) / 6,
+        "digits": digits / n, "upper": upper / n, "lower": lower / n, "marks": (n - digits - upper - lower) / n,
+        "classes>1": float(classes > 1), "classes>2": float(classes > 2), "classes>3": float(classes > 3), "len<8": float(n < 8), "len<16": float(8 <= n < 16), "len<24": float(16 <= n < 24), "len<48": float(24 <= n < 48), "len>=48": float(n >= 48),
+        "hex": float(is_hex), "digest_size": float(is_hex and n in DIGESTS), "word_mark_digits": float(bool(_WORD_MARK_DIGITS.match(value))), "decodes": float(n >= 8 and decoded(value) is not None),
     }
 
 
 def _dense(value: str) -> bool:
-    """Random letters that only happen to hold slashes, as in base64."""
-    return "." not in value and len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
+    """Random letters and digits, as in tokens and base64."""
+    return len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 10 and not _WORD_MARK_DIGITS.match(value)
 
 
-def weak_label(form: str, key: str, value: str) -> tuple[int, float]:
-    """(label, weight) by patterns alone: 1 credential, 0 none; the weight says how sure the pattern is."""
-    s = shape(value)
-    ws = key_words(key)
-    last = next((w for w in reversed(ws) if not w.isdigit()), "")
+def _path(value: str) -> bool:
+    return bool(PATHLIKE.match(value)) and not ("." not in value and len(value) >= 20 and any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value))
+
+
+def _prefixed(value: str) -> bool:
+    return bool(KNOWN.search(value) or PREFIX.match(value))
+
+
+def _last(ws: list[str]) -> str:
+    return next((w for w in reversed(ws) if not w.isdigit()), "")
+
+
+def stand_in(value: str) -> bool:
+    """A placeholder or a reference, also where it is encoded; it stands where a credential would."""
+    if PLACEHOLDER.search(value) or REFERENCE.search(value):
+        return True
+    text = decoded(value) if len(value) >= 8 else None
+    return bool(text and PLACEHOLDER.search(text.rsplit(":", 1)[-1]))
+
+
+def weak_label(form: str, key: str, value: str) -> int | None:
+    """1 or 0 where a strict pattern tells, None where none does: those candidates are left to the model.
+
+    Credentials: private keys, tokens with a public prefix, passwords in addresses, connection strings and commands, and dense values under a name that names a credential. None: UUIDs,
+    digests by name or mark, numbers, addresses, paths and calls, and values under other names, or names of something about a credential, that aren't dense. Stand-ins aren't learned from: the exact check after the score keeps them out.
+    """
     if form == "pem":
-        return 1, 1.0
-    if s["placeholder"] or s["reference"] or s["uuid"] or s["algorithm"]:
-        return 0, 1.0
-    if form == "known" or s["prefix"]:
-        return 1, 1.0
-    if form in ("url", "conn", "cli", "netrc", "header"):
-        return 1, 1.0
-    if form == "prose":
-        return (1, 0.8) if not s["code"] and not s["path"] and not s["url"] else (0, 0.5)
-    if set(ws) & HASHY and not names_credential(key):
-        return 0, 1.0
-    if names_credential(key):
-        if last in ABOUT or s["url"] or s["path"] or s["number"] or s["code"] or s["identifier"] and len(value) < 20:
-            return 0, 1.0
-        return 1, 0.9
-    if s["url"] or s["path"] or s["number"] or s["code"]:
-        return 0, 1.0
-    return 0, 0.6
+        return 1
+    if stand_in(value):
+        return None
+    if UUID.match(value) or _ALGORITHM.match(value):
+        return 0
+    if form in TOLD or _prefixed(value):
+        return 1
+    if form in ("header", "prose"):
+        return None
+    ws, named = key_words(key), names_credential(key)
+    if not named and set(ws) & HASHY:
+        return 0
+    plain = bool(URLLIKE.match(value) or _path(value) or _CALLS.search(value) or value.replace(".", "").replace(",", "").isdigit())
+    about = _last(ws) in ABOUT
+    if plain or (about or not named) and not _dense(value):
+        return 0
+    if named and not about and _dense(value) and not (IDENT.match(value) and wordy(value) and not HEX.match(value)) and not set(ws) & HASHY:
+        return 1
+    return None
 
 
 @dataclass
@@ -100,35 +125,35 @@ class SecretModel:
         """Calibrated probability of each (form, key, value, comment, path)."""
         if not rows:
             return np.zeros(0)
+        if not len(self.weights):
+            return np.array([float(weak_label(*r[:3]) == 1) for r in rows])
         x = (_matrix(rows, self.words, self.likelihood) - self.mean) / self.scale
         z = x @ self.weights[1:] + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
 
 
 def _codes(value: str) -> np.ndarray:
-    get = _ALPHABET.get
-    return np.array([0, *(get(c, 1) for c in value[:256]), 0])
+    return np.concatenate(([0], _CODE[np.frombuffer(value.encode("latin-1", "replace"), np.uint8)], [0]))
 
 
-def _tokens(form: str, key: str, path: str) -> list[str]:
+def _tokens(key: str, path: str) -> list[str]:
     ws = key_words(key)
-    last = next((w for w in reversed(ws) if not w.isdigit()), "")
-    return [f"w:{w}" for w in ws] + [f"l:{last}"] + [f"p:{a} {b}" for a, b in zip(ws, ws[1:])] + [f"d:{x}" for x in path.lower().split("/")[2:-1] if x.isalpha()]
+    return [f"w:{w}" for w in ws] + [f"l:{_last(ws)}"] + [f"p:{a} {b}" for a, b in zip(ws, ws[1:])] + [f"d:{x}" for x in path.lower().split("/")[2:-1] if x.isalpha()]
 
 
 def _matrix(rows: list[tuple], words: dict[str, int], likelihood: np.ndarray) -> np.ndarray:
     dense, tags = [], []
     for i, (form, key, value, comment, path) in enumerate(rows):
-        s = shape(value)
         c = _codes(value)
         ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-        named, ws = names_credential(key), key_words(key)
-        last = next((w for w in reversed(ws) if not w.isdigit()), "")
+        ws = key_words(key)
+        named, about = names_credential(key), _last(ws) in ABOUT
+        told = form in TOLD or form in ("header", "prose") or named and not about or _prefixed(value)
         dense.append([
-            float(likelihood[c[:-1], c[1:]].mean()), *s.values(), *(float(form == f) for f in FORMS), float(comment), float(named), float(named and last in ABOUT), float(bool(set(ws) & HASHY)), float(form in KEYED and not named), float(form in KEYED and named and last not in ABOUT),
-            float(named and last in ABOUT) * s["word_mark_digits"], float(ext in _CONFIG), float(ext in _DOCS), float("/test" in path or path.startswith("test")),
+            float(likelihood[c[:-1], c[1:]].mean()), *shape(value).values(), float(told), float(told and HEX.match(value) is not None), float(told and wordy(value)), float(form == "header"), float(form == "prose"), float(form == "pieces"), float(comment), float(named), float(named and about), float(bool(set(ws) & HASHY)),
+            float(bool(IDENT.match(value)) and wordy(value)), float(ext in _CONFIG), float(ext in _DOCS), float("/test" in path or path.startswith("test")),
         ])
-        tags += [(i, words[t]) for t in _tokens(form, key, path) if t in words]
+        tags += [(i, words[t]) for t in _tokens(key, path) if t in words]
     out = np.zeros((len(rows), len(dense[0]) + len(words)), np.float32)
     d = np.array(dense, np.float32)
     out[:, : d.shape[1]] = d
@@ -138,12 +163,14 @@ def _matrix(rows: list[tuple], words: dict[str, int], likelihood: np.ndarray) ->
     return out
 
 
-def fit(rows: list[tuple], threshold: float = 0.5, penalty: float = 1.0, vocabulary: int = 300, rounds: int = 12) -> SecretModel:
-    """Fit on (form, key, value, comment, path) rows. A third of them, told by a hash of the value, is held out for the calibration."""
-    rows = sorted(set(rows))
-    labels = [weak_label(*r[:3]) for r in rows]
-    y, w = np.array([a for a, _ in labels], float), np.array([b for _, b in labels], float)
+def fit(rows: list[tuple], threshold: float = 0.5, penalty: float = 0.3, vocabulary: int = 300, rounds: int = 12) -> SecretModel:
+    """Fit on those (form, key, value, comment, path) rows that a strict pattern labels. A third of them, told by a hash of the value, is held out for the calibration."""
+    told = sorted((r, label) for r in set(rows) if (label := weak_label(*r[:3])) is not None)
+    rows, y = [r for r, _ in told], np.array([label for _, label in told], float)
     held = np.array([(sum(map(ord, r[2])) * 2654435761 >> 7) % 3 == 0 for r in rows], bool)
+    train = ~held
+    if not (y[train] == 1).any() or not (y[train] == 0).any():  # too little to learn from: the patterns decide
+        return SecretModel({}, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((0, 0)), 1.0, 0.0, threshold)
     # Markov likelihood of secret values against the other values.
     counts = np.full((2, _SIZE, _SIZE), 0.05)
     for r, label, h in zip(rows, y, held):
@@ -152,13 +179,10 @@ def fit(rows: list[tuple], threshold: float = 0.5, penalty: float = 1.0, vocabul
             np.add.at(counts[int(label)], (c[:-1], c[1:]), 1 / len(c))
     p = counts / counts.sum(axis=2, keepdims=True)
     likelihood = np.log(p[1]) - np.log(p[0])
-    n = Counter(t for r, h in zip(rows, held) if not h for t in set(_tokens(r[0], r[1], r[4])))
+    n = Counter(t for r, h in zip(rows, held) if not h for t in set(_tokens(r[1], r[4])))
     words = {t: i for i, (t, k) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]) if k > 2}
-    x = _matrix(rows, words, likelihood) if rows else np.zeros((0, 1), np.float32)
-    train = ~held
-    if not (y[train] == 1).any() or not (y[train] == 0).any():  # too little to learn from: the patterns decide
-        d = x.shape[1]
-        return SecretModel(words, np.zeros(d), np.ones(d), np.zeros(d + 1), likelihood, 1.0, 0.0, threshold)
+    x = _matrix(rows, words, likelihood)
+    w = np.ones(len(y))
     mean, scale = x[train].mean(axis=0), np.maximum(x[train].std(axis=0), 0.05)
     x = (x - mean) / scale
     one = np.concatenate([np.ones((len(x), 1), np.float32), x], axis=1)
@@ -195,19 +219,15 @@ def fit(rows: list[tuple], threshold: float = 0.5, penalty: float = 1.0, vocabul
 
 def usable(value: str) -> bool:
     """The exact check after the score: neither a placeholder nor a reference, whatever the model says."""
-    s = shape(value)
-    return not (s["placeholder"] or s["reference"])
+    return not stand_in(value)
 
 
-FOUND = "src_table string, record_key string, line_no int, form string, key string, value string, comment boolean, path string"
+FOUND = "src_table string, record_key string, line_no int, form string, key string, value string, comment boolean, path string, label int"
 
 
-def _rows_of(text: str) -> list[Candidate]:
-    return candidates(text) if text else []
-
-
-def extract(records: DataFrame) -> DataFrame:
-    """Candidates of all records: src_table, record_key, path, text or gz (a gzip stream, read as UTF-8)."""
+def extract(records: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Candidates of all records: src_table, record_key, path, text or gz (a gzip stream, read as UTF-8), with the label of the strict patterns. paths (src_table, record_key, path), one row for each record,
+    gives the paths of records that don't know theirs; it meets the candidates, not the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FOUND.split(", ")]
@@ -217,11 +237,33 @@ def extract(records: DataFrame) -> DataFrame:
                 if gz is not None:
                     raw = _whole(gz)
                     text = raw.decode("utf-8", "replace") if raw is not None else None
-                for c in _rows_of(text):
-                    out.append((src, key, c.line, c.form, c.key, c.value, c.comment, path or ""))
-            yield pd.DataFrame(out, columns=names)
+                for c in candidates(text) if text else ():
+                    out.append((src, key, c.line, c.form, c.key, c.value, c.comment, _folder(path), weak_label(c.form, c.key, c.value)))
+            yield pd.DataFrame(out, columns=names).astype({"label": "Int32"})
+
+    found = records.mapInPandas(run, FOUND)
+    if paths is None:
+        return found
+    known = paths.select("src_table", F.col("record_key").alias("_k"), _folder_of(F.col("path")).alias("_p"))
+    met = found.withColumn("_k", F.lower("record_key")).join(known, ["src_table", "_k"], "left")
+    return met.withColumn("path", F.coalesce("_p", "path")).drop("_k", "_p")
 
-    return records.mapInPandas(run, FOUND)
+
+def _folder_of(path: Column) -> Column:
+    name = F.substring_index(path, "/", -1)
+    dot = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
+    return F.when(path == "", "").otherwise(F.concat(F.substring(path, F.lit(1), F.char_length(path) - F.char_length(name)), F.lit("f"), dot))
+
+
+def _folder(path: str | None) -> str:
+    """A path without the file's own name, which says too much about a single file; its ending stays."""
+    name = (path or "").rpartition("/")[2]
+    return path[: len(path) - len(name)] + "f" + name[name.rfind(".") :] * ("." in name) if path else ""
+
+
+def content_paths(files: DataFrame) -> DataFrame:
+    """(src_table, record_key, path): a path for each content, the first in order of those that use it; keys in lower case."""
+    return files.where("content_hash is not null").groupBy(F.lower("content_hash").alias("record_key")).agg(F.min("file_path").alias("path")).select(F.lit("blobs").alias("src_table"), "record_key", "path")
 
 
 def _whole(gz: bytes) -> bytes | None:
@@ -232,43 +274,44 @@ def _whole(gz: bytes) -> bytes | None:
         return None
 
 
-def train(found: DataFrame, sample_rows: int = 8_000, threshold: float = 0.5) -> SecretModel:
-    """Fit on at most `sample_rows` distinct candidates of up to 400 characters, those with the smallest hashes, so that the choice doesn't depend on the order of rows."""
+def train(found: DataFrame, sample_rows: int = 16_000, sample_chars: int = 400, threshold: float = 0.5) -> SecretModel:
+    """Fit on at most `sample_rows` distinct labelled candidates of up to `sample_chars` characters, a quarter of them credentials: those with the smallest hashes, so that the choice
+    doesn't depend on the order of rows. Only the sample is bounded: all candidates of any length are scored, whole."""
     cols = ["form", "key", "value", "comment", "path"]
-    short = found.where(F.length("value") <= 400).select("form", "key", "value", "comment", F.regexp_replace("path", r"[^/]*(\.[^./]*)$", "f$1").alias("path"))
-    rows = short.groupBy("form", "key", "value").agg(F.min("comment").alias("comment"), F.min("path").alias("path"))
-    rows = bounded_sample(rows, ["form", "key", "value"], sample_rows)
-    return fit([tuple(r[c] for c in cols) for r in rows.select(*cols).collect()], threshold)
+    short = found.where(F.col("label").isNotNull() & (F.char_length("value") <= sample_chars))
+    rows = short.groupBy("label", "form", "key", "value").agg(F.min("comment").alias("comment"), F.min("path").alias("path"))
+    taken = [bounded_sample(rows.where(F.col("label") == y), ["form", "key", "value"], n).select(*cols) for y, n in ((1, sample_rows // 4), (0, sample_rows - sample_rows // 4))]
+    return fit([tuple(r[c] for c in cols) for df in taken for r in df.collect()], threshold)
 
 
-def find_secrets(records: DataFrame, sample_rows: int = 8_000, threshold: float = 0.5) -> DataFrame:
-    """(src_table, record_key, line_no, form, key, score) of every credential in `records`.
+def find_secrets(records: DataFrame, paths: DataFrame | None = None, sample_rows: int = 16_000, threshold: float = 0.5) -> DataFrame:
+    """(src_table, record_key, line_no, form, key, label, score) of every credential in `records`.
 
-    records: src_table, record_key, path, text, gz. Null and empty texts and damaged streams have none; repeated records repeat their rows;
+    records: src_table, record_key, path, text, gz; paths: see extract. Null and empty texts and damaged streams have none; repeated records repeat their rows;
     extra columns are not read. Candidates of all texts are written once, the model is fitted on a bounded sample, every candidate is scored.
     """
-    found = cut(extract(records.select("src_table", "record_key", "path", "text", "gz")))
-    model = train(found, sample_rows, threshold)
+    found = cut(extract(records.select("src_table", "record_key", "path", "text", "gz"), paths))
+    model = train(found, sample_rows, threshold=threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = _score(model, pdf)
-            ok = (score >= model.threshold) & np.fromiter((usable(v) for v in pdf["value"]), bool, len(pdf))
-            yield pdf.loc[ok, ["src_table", "record_key", "line_no", "form", "key"]].assign(score=score[ok])
+            ok = score >= model.threshold
+            ok[ok] = [usable(v) for v in pdf["value"][ok]]
+            yield pdf.loc[ok, ["src_table", "record_key", "line_no", "form", "key", "label"]].assign(score=score[ok])
 
-    return found.mapInPandas(run, "src_table string, record_key string, line_no int, form string, key string, score double")
+    return found.mapInPandas(run, "src_table string, record_key string, line_no int, form string, key string, label int, score double")
 
 
 def _score(model: SecretModel, pdf: pd.DataFrame) -> np.ndarray:
-    rows = list(zip(pdf["form"], pdf["key"], pdf["value"], pdf["comment"], (re.sub(r"[^/]*(\.[^./]*)$", r"f\1", p) for p in pdf["path"])))
+    rows = list(zip(pdf["form"], pdf["key"], pdf["value"], pdf["comment"], pdf["path"]))
     return np.concatenate([model.score(rows[a : a + 4096]) for a in range(0, len(rows), 4096)] or [np.zeros(0)])
 
 
 def redact_text(text: str, model: SecretModel, path: str = "", mark: str = "REDACTED") -> tuple[str, int]:
     """The text with every credential's value replaced by `mark`, and how many. Quotes, keys, addresses and BEGIN and END lines stay."""
     found = [c for c in candidates(text) if usable(c.value)]
-    p = re.sub(r"[^/]*(\.[^./]*)$", r"f\1", path)
-    score = model.score([(c.form, c.key, c.value, c.comment, p) for c in found])
+    score = model.score([(c.form, c.key, c.value, c.comment, _folder(path)) for c in found])
     hits = [c for c, s in zip(found, score) if s >= model.threshold]
     for a, b in sorted({s for c in hits for s in c.spans}, reverse=True):
         text = text[:a] + mark + text[b:]
@@ -294,8 +337,16 @@ def redact(records: DataFrame, model: SecretModel) -> DataFrame:
     return records.mapInPandas(run, "src_table string, record_key string, redacted binary, n_redacted int")
 
 
+def with_paths(records: DataFrame, paths: DataFrame) -> DataFrame:
+    """records whose blank paths are those of `paths`; only records without a path meet it."""
+    blank = F.coalesce(F.col("path"), F.lit("")) == ""
+    known = paths.select("src_table", F.col("record_key").alias("_k"), F.col("path").alias("_p"))
+    met = records.where(blank).withColumn("_k", F.lower("record_key")).join(known, ["src_table", "_k"], "left").withColumn("path", F.coalesce("_p", "path")).select(*records.columns)
+    return records.where(~blank).unionByName(met)
+
+
 def archive_records(blobs: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Contents, retrieval rows and shown passages as records. The path of a content isn't looked up: its text says what it is."""
+    """Contents, retrieval rows and shown passages as records. A content has no path of its own: see content_paths."""
     no_gz, none = F.lit(None).cast("binary").alias("gz"), F.lit(None).cast("string")
     return (
         chunks.select(F.lit("chunks").alias("src_table"), F.col("chunk_id").alias("record_key"), F.col("file_path").alias("path"), "text", no_gz)

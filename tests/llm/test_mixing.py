@@ -46,3 +46,28 @@ def test_mix_over_odd_rows(spark):
     e = mix_sources(d.limit(0), t)
     assert e.uses.count() == 0 and e.schedule.count() == 0 and interleaved(e).count() == 0
     assert mix_sources(d, t.limit(0)).uses.where("uses > 0").count() == 0
+
+
+def test_plan_keeps_target_weights_and_hands_on():
+    plan = plan_mix({"a": 10_000, "b": 10_000, "c": 10_000}, [("a", 0.21, 1), ("b", 0.05, 9), ("c", 0.09, 9), ("d", 0.02, 4)])
+    assert [r["parts"] for r in plan] == [21, 5, 9, 0]
+    rows = {r["source"]: r for r in plan_mix({"a": 100, "b": 5000, "c": 5000}, [("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 1)], 4000)}
+    assert rows["a"]["need"] == 200 and rows["b"]["need"] == 2280 and rows["c"]["need"] == 1520
+    assert sum(r["need"] for r in rows.values()) == 4000 and [rows[x]["parts"] for x in "abc"] == [5, 57, 38]
+    odd = plan_mix({"a": 10**9, "b": 10**9}, [("a", 0.123456789, 1), ("b", 0.7, 1)])
+    assert sum(r["parts"] for r in odd) <= mixing.FINEST + 2 and abs(odd[0]["parts"] / sum(r["parts"] for r in odd) - 0.123456789 / 0.823456789) < 1e-5
+
+
+def test_interleaved_is_within_a_block_of_the_targets_at_every_slot(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "word " * (1 + i % 7), 0) for i in range(3000)], "doc_id bigint, source string, text string, x int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.17, 2)], "source string, target_share double, max_repeats int")
+    m = mix_sources(docs, targets, block_tokens=32)
+    rows = interleaved(m).groupBy("slot", "source").count().orderBy("slot").collect()
+    slots = [r.slot for r in rows]
+    whole = slots[-1] // m.period * m.period  # in the last period a source may be used up
+    assert len(set(slots)) == len(slots) and slots[: whole] == list(range(whole)) and whole > 500
+    seen = Counter()
+    for t, r in enumerate(rows[:whole], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - w / 0.97 * t) < 1 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.17)))
+    assert m.uses.agg({"uses": "max"}).first()[0] <= 2

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators.delivery import live_vectors, split_deliveries
+from strataloom.operators.delivery import deletion_vectors, split_deliveries
 from strataloom.operators.orphans import cascade, find_orphans, iso_time, path_key, resolve
 
 T0 = datetime(2025, 1, 1)
@@ -52,7 +52,7 @@ def test_hot_message_lots_and_ties(spark, tmp_path):
 def test_hot_key_sends_one_row_a_task(spark, tmp_path):
     path = str(tmp_path / "m")
     _messages(spark, path, [(i, "a", "x", "p", T0, None, None) for i in range(300)], 6)
-    plan = live_vectors(spark.read.parquet(path), ["job_id", "owner", "repo"], ["received_at", "delivery_id"])._jdf.queryExecution().executedPlan().toString()
+    plan = deletion_vectors(spark.read.parquet(path), ["job_id", "owner", "repo"], ["received_at", "delivery_id"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "Window" not in plan
 
 

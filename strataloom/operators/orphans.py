@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, hot_keys, salted_join, table
 
 FOREVER = "9999-12-31 00:00:00"
 ZONE = r"([zZ]|[+-]\d{2}(:?\d{2})?)$"
@@ -72,42 +72,43 @@ def resolve(refs: DataFrame, targets: DataFrame, bin: str = "day") -> DataFrame:
     return rows.withColumn("live", F.coalesce(alive, F.lit(False))).where("kind = 1").select("key", "at", "p.*", "live").drop("__pad")
 
 
-def cascade(links: DataFrame, dead: DataFrame, salt: int = 8) -> DataFrame:
+def cascade(links: DataFrame, dead: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(tab, key, depth) of every orphaned record: depth 0 for `dead` (tab, key), n for those whose nearest dead ancestor is n links up.
 
     links: child_table, child_key, parent_table, parent_key, for live references. Each round semi-joins the links with the records that
-    the round before found and drops what is known, until nothing new comes; cycles end so too. A parent with many children is salted.
+    the round before found and drops what is known, until nothing new comes; cycles end so too. What is known is one table, written together every 16 rounds, so that neither plans nor the files they read
+    grow with the depth. A parent with over `most` children is salted.
     """
-    links = cut(links.distinct().withColumn("salt", F.pmod(F.xxhash64("child_key"), F.lit(salt)).cast("int")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt")
+    links = cut(links.select("child_table", "child_key", "parent_table", "parent_key").distinct())
+    hot = hot_keys(links, ["parent_table", "parent_key"], most)
     fresh = cut(dead.select("tab", "key").distinct().withColumn("depth", F.lit(0)))
-    found = [fresh]
+    known, recent = fresh, []
     for depth in count(1):
-        if len(found) > 50:
-            found = [cut(reduce(DataFrame.unionByName, found))]
-        parents = fresh.select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), salts)
-        known = reduce(DataFrame.unionByName, found).select("tab", "key")
+        parents = fresh.select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"))
+        reached = salted_join(links, parents, ["parent_table", "parent_key"], "left_semi", ["child_table", "child_key"], hot)
+        seen = reduce(DataFrame.unionByName, [known, *recent]).select("tab", "key")
         fresh = cut(
-            links.join(parents, ["parent_table", "parent_key", "salt"], "left_semi")
-            .select(F.col("child_table").alias("tab"), F.col("child_key").alias("key"))
+            reached.select(F.col("child_table").alias("tab"), F.col("child_key").alias("key"))
             .distinct()
-            .join(known, ["tab", "key"], "left_anti")
+            .join(seen, ["tab", "key"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
         if fresh.isEmpty():
             break
-        found.append(fresh)
-    return reduce(DataFrame.unionByName, found)
+        recent.append(fresh)
+        if len(recent) >= 16:
+            known, recent = cut(reduce(DataFrame.unionByName, [known, *recent])), []
+    return reduce(DataFrame.unionByName, [known, *recent])
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, salt: int = 8) -> DataFrame:
+def find_orphans(refs: DataFrame, targets: DataFrame, most: int = 1_000_000) -> DataFrame:
     """refs with `status`: 'direct' (no live target), 'inherited' (its target lives but is itself an orphan, directly or not) or 'sound',
     and `depth`, the target's distance from the dead reference (null unless inherited).
 
     refs: child_table, child_key, parent_table, parent_key, at, …; targets: tab, key, since, until. Other columns pass through, but for those named as the
     ones added here. Null parents, keys and times are direct orphans; without references the result is empty, without targets all are direct.
     """
-    refs = refs.drop("status", "depth", "live", "key", "_salt")
+    refs = refs.drop("status", "depth", "live", "key", "_salt", "_salts")
     named = targets.select(F.struct("tab", "key").alias("key"), "since", "until")
     keyed = F.when(F.col("parent_key").isNotNull(), F.struct(F.col("parent_table").alias("tab"), F.col("parent_key").alias("key")))
     seen = cut(resolve(refs.withColumn("key", keyed), named.where("key.key is not null")).drop("key"))
@@ -116,12 +117,10 @@ def find_orphans(refs: DataFrame, targets: DataFrame, salt: int = 8) -> DataFram
     # Only parents that hold references themselves can pass a death on.
     parents = refs.select(F.col("child_table").alias("parent_table")).distinct()
     links = seen.where("live").select(*chain).join(F.broadcast(parents), "parent_table", "left_semi")
-    # A parent that a third of all references mean is spread by a salt over the children.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
-    orphans = cascade(links, dead).select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), "depth", salts)
+    orphans = cascade(links, dead, most).select(F.col("tab").alias("parent_table"), F.col("key").alias("parent_key"), "depth")
     status = F.when(~F.col("live"), "direct").when(F.col("depth").isNotNull(), "inherited").otherwise("sound")
-    salted = seen.withColumn("_salt", F.pmod(F.xxhash64("child_key", "at"), F.lit(salt)).cast("int"))
-    joined = salted.join(orphans, ["parent_table", "parent_key", "_salt"], "left").drop("_salt")
+    hot = hot_keys(seen, ["parent_table", "parent_key"], most)
+    joined = salted_join(seen, orphans, ["parent_table", "parent_key"], "left", ["child_key", "at"], hot)
     return joined.withColumn("status", status).withColumn("depth", F.when(F.col("live"), F.col("depth"))).drop("live")
 
 

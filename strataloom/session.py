@@ -33,7 +33,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, in local mode (as in tests) a temporary folder is made and removed at exit; a
-    cluster uses a folder in its warehouse, which all its machines reach, never one of a single machine."""
+    cluster uses a folder in its warehouse, if that lies in a shared store, and is refused if it doesn't."""
     jsc = spark.sparkContext._jsc.sc()
     have = jsc.getCheckpointDir()
     if have.isDefined():
@@ -44,7 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="strataloom-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strataloom"
+            home = spark.conf.get("spark.sql.warehouse.dir")
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share: its warehouse lies on a single one")
+            named = home.rstrip("/") + "/_strataloom"
     spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -67,3 +71,22 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     h = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(space))
     some = df.where(h < int(space * most / n)) if n > most else df
     return some.orderBy(h, *keys).limit(most)
+
+
+def hot_keys(df: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame | None:
+    """(keys, _salts) of the keys with over `most` rows, None if there are none. The count is combined before the shuffle; at most rows / most keys can be hot."""
+    hot = cut(df.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("_salts")))
+    return None if hot.isEmpty() else hot
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: list[str], hot: DataFrame | None) -> DataFrame:
+    """left join right (how: inner, left, left_semi or left_anti) where one key may hold a great part of left's rows: a key of `hot` (see hot_keys) is spread over its salts by a
+    hash of the columns `spread`, and right's rows of that key are repeated for each; only the hot keys are broadcast. Rows with a null key are spread as well. Without hot keys it is a plain join."""
+    if hot is None:
+        return left.join(right, keys, how)
+    n = F.coalesce("_salts", F.lit(1))
+    null = F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), True)
+    salt = F.pmod(F.xxhash64(*spread), F.when(null, F.lit(256)).otherwise(n)).cast("int")
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")

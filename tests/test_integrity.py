@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.session import hot_keys, salted_join
 from strataloom.operators.delivery import deletion_vectors, split_deliveries
 from strataloom.operators.orphans import cascade, find_orphans, iso_time, path_key, resolve
 
@@ -96,6 +97,7 @@ def test_cascade_depths_and_cycle(spark):
     dead = spark.createDataFrame([("b", "b1")], "tab string, key string")
     got = {(x.tab, x.key): x.depth for x in cascade(links, dead).collect()}
     assert got[("b", "b1")] == 0 and got[("f", "f1")] == 1 and got[("c", "c7")] == 2 and got[("d", "d1")] == 3 and got[("x", "x2")] == 2
+    assert {(x.tab, x.key): x.depth for x in cascade(links, dead, most=7).collect()} == got
     assert cascade(links, dead.limit(0)).count() == 0
 
 
@@ -113,6 +115,21 @@ def test_find_orphans_direct_and_inherited(spark):
 
 
 def test_cascade_down_a_long_chain(spark):
-    links = spark.createDataFrame([("a", i + 1, "a", i) for i in range(103)], "child_table string, child_key int, parent_table string, parent_key int").coalesce(1)
-    got = cascade(links, spark.createDataFrame([("a", 0)], "tab string, key int"), salt=1)
-    assert {(x.key, x.depth) for x in got.collect()} == {(i, i) for i in range(104)}
+    links = spark.createDataFrame([("a", i + 1, "a", i) for i in range(150)], "child_table string, child_key int, parent_table string, parent_key int").coalesce(1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = cascade(links, spark.createDataFrame([("a", 0)], "tab string, key int").coalesce(1))
+        assert {(x.key, x.depth) for x in got.collect()} == {(i, i) for i in range(151)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_is_a_join(spark, how):
+    a = spark.createDataFrame([(i, "hot" if i % 3 else ("b" if i % 2 else None), i % 5) for i in range(200)], "id int, k string, j int")
+    b = spark.createDataFrame([("hot", 1, "x"), ("hot", 1, "y"), ("b", 3, "z"), (None, 1, "n")], "k string, j int, v string")
+    hot = hot_keys(a, ["k", "j"], 10)
+    assert hot.count() and hot_keys(a, ["k", "j"], 1000) is None
+    got, want = salted_join(a, b, ["k", "j"], how, ["id"], hot), a.join(b, ["k", "j"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

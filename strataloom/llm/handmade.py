@@ -1,11 +1,13 @@
 """Generated, minified, vendored and bulk-data source files (problem 4).
 
 Layout statistics of each content (line lengths, white space, alphanumeric share, numeric literals, long encoded runs) are held against thresholds of the file's
-language; notices in the leading comments and the path tell generated and vendored files. Contents are measured once, wherever they are used.
+language, which are the valleys of that language's own distribution over all files; notices in the leading comments and the path tell generated and vendored files. Contents are measured once,
+wherever they are used.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, hot_keys, salted_join
+
 #: Source languages by file ending. Anything else is configuration, documentation or data and never a case.
 FAMILIES = {
     "py": "py pyi pyx",
@@ -24,19 +28,12 @@ FAMILIES = {
     "c": "c h cc cpp hpp m rs swift",
     "loose": "rb pl lua r jl dart ex",
 }
-#: Thresholds of each family: mean line, longest line with it, least white-space share, numeric literals among all words and literals,
-#: share of long encoded runs, alphanumeric share.
-THRESHOLDS = {
-    "py": (200, 400, 0.05, 0.30, 0.70, 0.97),
-    "script": (220, 500, 0.05, 0.30, 0.70, 0.97),
-    "go": (200, 400, 0.05, 0.30, 0.70, 0.97),
-    "java": (210, 450, 0.05, 0.30, 0.70, 0.97),
-    "php": (210, 450, 0.05, 0.30, 0.70, 0.97),
-    "c": (200, 400, 0.05, 0.30, 0.70, 0.97),
-    "loose": (250, 600, 0.03, 0.30, 0.70, 0.97),
-}
-#: A file under this many characters is too short for statistics.
-LEAST = 120
+#: Of each statistic the range in which its threshold is sought, and whether the range is logarithmic.
+RANGES = {
+    "mean_line": (110.0, 500.0, True), "max_line": (300.0, 1500.0, True), "white": (0.036, 0.076, False), "numeric": (0.17, 0.45, False), "encoded": (0.55, 0.85, False), "alnum": (0.92, 0.975, False),
+}
+#: Steps of each range.
+STEPS = 32
 
 GENERATED = re.compile(
     r"(?i)@generated\b|<auto-?generated|\b(?:code|file|source) (?:was |is |has been )?(?:automatically |auto-?)?generated\b|\bauto(?:matically)?[- ]?generated\b|\bmanual changes will be (?:lost|overwritten)\b|\bgenerated (?:by|from|with|using) \S"
@@ -108,9 +105,10 @@ def layout(raw: bytes) -> tuple:
     encoded = sum(len(x) for x in _RUN.findall(raw))
     alnum = len(raw.translate(None, _NOT_ALNUM))
     head = leading_comment(raw.decode("utf-8", "replace"))
+    # Shares of little text are drawn towards those of ordinary code, so that short files need no rule of their own.
     return (
-        n, sum(lines) / max(1, len(lines)), max(lines, default=0), 1 - solid / max(1, n), alnum / max(1, solid),
-        numbers / max(1, numbers + words), encoded / max(1, n), bool(GENERATED.search(head)), bool(VENDORED.search(head)),
+        n, sum(lines) / max(1, len(lines)), max(lines, default=0), (n - solid + 20) / (n + 100), (alnum + 16) / (solid + 20),
+        numbers / (numbers + words + 20), encoded / (n + 60), bool(GENERATED.search(head)), bool(VENDORED.search(head)),
     )
 
 
@@ -132,11 +130,40 @@ def content_layout(blobs: DataFrame, key: Column) -> DataFrame:
     return found.groupBy("k").agg(F.max(F.struct("size", *rest)).alias("s")).select("k", "s.*")
 
 
-def classify_files(files: DataFrame, blobs: DataFrame, salt: int = 4) -> DataFrame:
-    """(file_path, content_hash, made): made is 'generated', 'vendored', 'minified' or 'data', null for hand-written files and those that are no source.
+def valleys(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """Of each family and statistic the threshold: the middle of the longest run of the emptiest steps within its range. rows: fam and the statistics, one row for each file. All files count; what
+    comes to the driver is a histogram of fixed size for each family."""
+    def step(c: str) -> Column:
+        low, high, by_log = RANGES[c]
+        x = (F.log(F.greatest(F.col(c), F.lit(1e-9))) - math.log(low)) / (math.log(high) - math.log(low)) if by_log else (F.col(c) - low) / (high - low)
+        return F.floor(x * STEPS).cast("int")
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), step(c).alias("step")) for c in RANGES])).alias("e")
+    counts = rows.where("size is not null").select("fam", each).select("fam", "e.*").where(F.col("step").between(0, STEPS - 1)).groupBy("fam", "stat", "step").count().collect()
+    hist = {(f, c): [0] * STEPS for f in FAMILIES for c in RANGES}
+    for r in counts:
+        hist[r["fam"], r["stat"]][r["step"]] = r["count"]
+    out: dict[str, dict[str, float]] = {f: {} for f in FAMILIES}
+    for (f, c), n in hist.items():
+        least, best, at = min(n), (0, 0), 0
+        while at < STEPS:
+            end = at
+            while end < STEPS and n[end] == least:
+                end += 1
+            best = max(best, (end - at, at), key=lambda x: x[0])
+            at = max(end, at + 1)
+        low, high, by_log = RANGES[c]
+        x = (best[1] + best[0] / 2) / STEPS
+        out[f][c] = low * (high / low) ** x if by_log else low + (high - low) * x
+    return out
+
+
+def classify_files(files: DataFrame, blobs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(file_path, content_hash, fam, made, reason): made is 'generated', 'vendored', 'minified' or 'data', null for hand-written files and those that are no source; reason says
+    what told: 'layout', 'notice' or 'path'.
 
     source_kind and language aren't trusted: the file ending names the language. Files without readable content are judged by path. Null
-    paths give no row; repeated rows are kept once. A content that a third of all files share is spread by a salt.
+    paths give no row; repeated rows are kept once. A content that more than `most` files share is spread by a salt.
     """
     ends = {e: f for f, es in FAMILIES.items() for e in es.split()}
     fam_of = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])
@@ -144,27 +171,29 @@ def classify_files(files: DataFrame, blobs: DataFrame, salt: int = 4) -> DataFra
     f = (
         files.where("file_path is not null").select("file_path", "content_hash").distinct()
         .withColumn("fam", F.try_element_at(fam_of, F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))))
-        .withColumns({"k": F.lower("content_hash"), "salt": F.pmod(F.xxhash64("file_path"), F.lit(salt)).cast("int")})
+        .withColumn("k", F.lower("content_hash"))
     )
-    stats = content_layout(blobs, F.lower("content_hash")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    limit = lambda i: F.element_at(F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(float(v[i])))]), F.col("fam"))
-    read = F.col("size") >= LEAST
-    dense = read & (((F.col("mean_line") > limit(0)) & (F.col("max_line") > limit(1))) | ((F.col("white") < limit(2)) & (F.col("mean_line") > 60)))
-    data = read & ((F.col("numeric") > limit(3)) | (F.col("encoded") > limit(4)) | (F.col("alnum") > limit(5)))
-    unread = F.col("size").isNull()
-    made = (
+    rows = cut(salted_join(f, content_layout(blobs, F.lower("content_hash")), ["k"], "left", ["file_path"], hot_keys(files.select(F.lower("content_hash").alias("k")), ["k"], most)))
+    tuned = valleys(rows.where("fam is not null"))
+    limit = lambda c: F.element_at(F.create_map(*[x for k, v in tuned.items() for x in (F.lit(k), F.lit(float(v[c])))]), F.col("fam"))
+    dense = ((F.col("mean_line") > limit("mean_line")) & (F.col("max_line") > limit("max_line"))) | ((F.col("white") < limit("white")) & (F.col("mean_line") > 60))
+    data = (F.col("numeric") > limit("numeric")) | (F.col("encoded") > limit("encoded")) | (F.col("alnum") > limit("alnum"))
+    says = lambda made, reason: F.struct(F.lit(made).alias("made"), F.lit(reason).alias("reason"))
+    no = F.lit(False)
+    told = (
         F.when(F.col("fam").isNull(), None)
-        .when(F.coalesce(data, F.lit(False)), "data")
-        .when(F.coalesce(dense, F.lit(False)), "minified")
-        .when(F.coalesce(F.col("says_generated"), F.lit(False)), "generated")
-        .when(F.coalesce(F.col("says_vendored"), F.lit(False)), "vendored")
-        .when(path.rlike(VENDOR_PATH), "vendored")
-        .when(path.rlike(GENERATED_PATH), "generated")
-        .when(unread & path.rlike(MINIFIED_PATH), "minified")
+        .when(F.coalesce(data, no), says("data", "layout"))
+        .when(F.coalesce(dense, no), says("minified", "layout"))
+        .when(F.coalesce(F.col("says_generated"), no), says("generated", "notice"))
+        .when(F.coalesce(F.col("says_vendored"), no), says("vendored", "notice"))
+        .when(path.rlike(VENDOR_PATH), says("vendored", "path"))
+        .when(path.rlike(GENERATED_PATH), says("generated", "path"))
+        .when(F.col("size").isNull() & path.rlike(MINIFIED_PATH), says("minified", "path"))
     )
-    return f.join(stats, ["k", "salt"], "left").select("file_path", "content_hash", "fam", made.alias("made"))
+    return rows.withColumn("told", told).select("file_path", "content_hash", "fam", "told.made", "told.reason")
 
 
 def made_report(classified: DataFrame) -> DataFrame:
-    """Source files by language family and how they were made."""
-    return classified.where("fam is not null").groupBy("fam", F.coalesce("made", F.lit("hand-written")).alias("made")).agg(F.countDistinct("file_path").alias("n_files"))
+    """Source files by language family, how they were made, and what told it ('' for hand-written ones)."""
+    by = ["fam", F.coalesce("made", F.lit("hand-written")).alias("made"), F.coalesce("reason", F.lit("")).alias("reason")]
+    return classified.where("fam is not null").groupBy(*by).agg(F.countDistinct("file_path").alias("n_files"))

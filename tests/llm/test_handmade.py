@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from strataloom.llm.handmade import classify_files, inflate, layout
+from strataloom.llm.handmade import FAMILIES, RANGES, classify_files, inflate, layout, made_report, valleys
 
 HAND = "// Copyright (c) the shop maintainers.\n" + "".join(f"function f{i}(a, b) {{\n  // writes the DO NOT EDIT notice\n  return a + {i};\n}}\n\n" for i in range(30))
 MINI = "!function(a,b){a.x=1}(),var c=d.map(e=>e.f*3),function g(h){return h.i(5)}" * 60
@@ -64,3 +64,17 @@ def test_notice_after_a_long_licence(top):
     assert layout((top + "// Code generated by tool. DO NOT EDIT.\n" + HAND).encode())[7:] == (True, False)
     assert layout((top + "// Thing v2.3.0+4384d410cd\n" + HAND).encode())[7:] == (False, True)
     assert layout((top + HAND + "// Code generated by tool. DO NOT EDIT.\n").encode())[7:] == (False, False)
+
+
+def test_short_files_need_no_rule(spark):
+    texts = ["x = 1\n", "VERSION = '1.0'\n", "1", "a", "export default 3;\n", "module.exports = require('./lib/very/long/path/of/a/module/in/another/folder');"]
+    f = spark.createDataFrame([(f"r/{i}.{e}", f"h{i}") for i in range(len(texts)) for e in ("py", "js")], "file_path string, content_hash string")
+    b = spark.createDataFrame([(f"h{i}", bytearray(gzip.compress(t.encode()))) for i, t in enumerate(texts)], "content_hash string, compressed_content binary")
+    assert classify_files(f, b, most=1).where("made is not null").count() == 0
+    assert {(x.made, x.reason) for x in made_report(classify_files(f, b)).collect()} == {("hand-written", "")}
+
+
+def test_thresholds_lie_in_the_valleys_of_each_language(spark):
+    rows = [("py", 100, float(m), 400, 0.06, 0.2, 0.6, 0.9) for m in (115, 120, 130, 140, 480, 490)] * 3 + [("go", 100, 450.0, 400, 0.06, 0.2, 0.6, 0.9)]
+    got = valleys(spark.createDataFrame(rows, "fam string, size int, mean_line double, max_line int, white double, numeric double, encoded double, alnum double"))
+    assert 140 < got["py"]["mean_line"] < 480 and got["go"]["mean_line"] < 450 and all(RANGES[c][0] < got[f][c] < RANGES[c][1] for f in FAMILIES for c in RANGES)

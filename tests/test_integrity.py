@@ -116,13 +116,16 @@ def test_find_orphans_direct_and_inherited(spark):
 
 def test_cascade_down_a_long_chain(spark):
     links = spark.createDataFrame([("a", i + 1, "a", i) for i in range(150)], "child_table string, child_key int, parent_table string, parent_key int").coalesce(1)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    small = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
         got = cascade(links, spark.createDataFrame([("a", 0)], "tab string, key int").coalesce(1))
         assert {(x.key, x.depth) for x in got.collect()} == {(i, i) for i in range(151)}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

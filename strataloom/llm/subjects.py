@@ -1,18 +1,24 @@
 """Subject areas of each document (problem 8).
 
 A sentence is the mean of its words' vectors, a word the mean of its own and its subwords' embeddings; independent logistic outputs say which subjects a
-sentence deals with, and a document has the subjects of at least two of its sentences. Labels are given for documents only, so the sentences' targets are re-estimated between
-rounds. In each round every partition of the bounded training sample steps through its documents from the same weights, and their changes are averaged.
+sentence deals with, and a document has the subjects of at least two of its sentences. Labels are given for documents only, so the sentences' targets are re-estimated in
+each epoch. The partitions of the bounded training sample take every step together: each computes the gradient of its part of the batch, all gradients are summed over the partitions, and
+all make the same step (one barrier stage, whose tasks exchange gradients among themselves; neither weights nor gradients pass through the driver).
 """
 
 from __future__ import annotations
 
+import hmac
+import pickle
 import re
+import secrets
+import socket
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,47 +251,135 @@ def _targets(z: np.ndarray, doc: np.ndarray, labels: np.ndarray, first: bool) ->
     return t, mask
 
 
-def run_epochs(w: Weights, texts: list[str], labels: np.ndarray, first: bool, epochs: int, rate: float = 0.2, batch: int = 24, seed: int = 0) -> Weights:
-    """Adagrad over the texts' sentences, from weights w."""
-    bag = Bag()
-    ids, n, doc = read_sentences(texts, bag)
-    if not len(n):
-        return w
-    feats, fn, codes = bag.arrays()
-    pair_of = _pairs(ids, n, codes)
-    start, fstart = np.cumsum(n) - n, np.cumsum(fn) - fn
-    first_sentence = np.searchsorted(doc, np.arange(len(texts) + 1))
-    grads = [np.full(p.shape, 1e-3, np.float32) for p in w.parts()]
-    r = np.random.default_rng(seed)
-    for _ in range(epochs):
-        t, mask = _targets(_scores(w, bag, ids, n), doc, labels, first)
-        order = r.permutation(len(texts))
-        for a in range(0, len(order), batch):
-            sent = np.concatenate([np.arange(first_sentence[k], first_sentence[k + 1]) for k in order[a : a + batch]])
-            if not len(sent):
+class Meeting:
+    """The tasks of a barrier stage exchange messages: the first listens, the others send it theirs and get everybody's. Who connects must show the token that the tasks were told through
+    Spark. A lost task breaks the connections, and with them the stage, which Spark then starts anew."""
+
+    def __init__(self, ctx: BarrierTaskContext, patience: float = 600):
+        hosts = [x.address.rpartition(":")[0] or x.address for x in ctx.getTaskInfos()]
+        self.peers: list[socket.socket] = []
+        self.first = ctx.partitionId() == 0
+        if self.first:
+            door = socket.create_server(("", 0), backlog=len(hosts))
+            door.settimeout(patience)
+            port, token = door.getsockname()[1], secrets.token_hex(32)
+            ctx.allGather(f"{port} {token}")
+            by_rank: dict[int, socket.socket] = {}
+            while len(by_rank) < len(hosts) - 1:
+                c, _ = door.accept()
+                c.settimeout(patience)
+                said, rank = self._exactly(c, 64), self._exactly(c, 4)
+                if hmac.compare_digest(said, token.encode()):
+                    by_rank[int.from_bytes(rank)] = c
+                else:
+                    c.close()
+            door.close()
+            self.peers = [by_rank[k] for k in sorted(by_rank)]
+        else:
+            port, token = ctx.allGather("")[0].split()
+            c = socket.create_connection((hosts[0], int(port)), patience)
+            c.sendall(token.encode() + ctx.partitionId().to_bytes(4))
+            self.peers = [c]
+        for c in self.peers:
+            c.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+
+    @staticmethod
+    def _exactly(c: socket.socket, n: int) -> bytes:
+        out = bytearray()
+        while len(out) < n:
+            got = c.recv(min(1 << 20, n - len(out)))
+            if not got:
+                raise ConnectionError("a task of the stage is gone")
+            out += got
+        return bytes(out)
+
+    @classmethod
+    def _take(cls, c: socket.socket) -> bytes:
+        return cls._exactly(c, int.from_bytes(cls._exactly(c, 8)))
+
+    def gather(self, message: bytes) -> list[bytes]:
+        """Everybody's messages, in the order of the tasks."""
+        if not self.first:
+            self.peers[0].sendall(len(message).to_bytes(8) + message)
+            return pickle.loads(self._take(self.peers[0]))
+        all_ = [message, *map(self._take, self.peers)]
+        back = pickle.dumps(all_, protocol=5)
+        for c in self.peers:
+            c.sendall(len(back).to_bytes(8) + back)
+        return all_
+
+    def close(self) -> None:
+        for c in self.peers:
+            c.close()
+
+
+class Trainer:
+    """Adagrad over the sentences of one partition's texts, in step with the other partitions. `gather` gives all partitions' messages in their order; alone it is the identity."""
+
+    def __init__(self, w: Weights, texts: list[str], labels: np.ndarray, gather: Callable[[bytes], list[bytes]], rate: float = 0.2):
+        self.w, self.labels, self.gather, self.rate, self.size = w, labels, gather, rate, len(texts)
+        self.bag = Bag()
+        self.ids, self.n, self.doc = read_sentences(texts, self.bag)
+        self.feats, self.fn, codes = self.bag.arrays()
+        self.pair_of = _pairs(self.ids, self.n, codes)
+        self.start, self.fstart = np.cumsum(self.n) - self.n, np.cumsum(self.fn) - self.fn
+        self.first_sentence = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        self.squares = [np.full(p.shape, 1e-3, np.float32) for p in w.parts()]
+
+    def gradient(self, docs: np.ndarray, t: np.ndarray, mask: np.ndarray) -> tuple[int, list[tuple]]:
+        """Sentences of a batch, and of each part of the weights the rows that change and the sum of their gradients."""
+        w = self.w
+        sent = np.concatenate([np.arange(self.first_sentence[k], self.first_sentence[k + 1]) for k in docs]) if len(docs) else np.zeros(0, np.int64)
+        if not len(sent):
+            return 0, []
+        ln = self.n[sent]
+        pos = np.repeat(self.start[sent] - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
+        words, back = np.unique(self.ids[pos], return_inverse=True)
+        wn = self.fn[words]
+        fpos = np.repeat(self.fstart[words] - (np.cumsum(wn) - wn), wn) + np.arange(wn.sum())
+        f = self.feats[fpos]
+        tok = (np.add.reduceat(w.emb[f], np.cumsum(wn) - wn, axis=0) / wn[:, None])[back]
+        p = self.pair_of[pos]
+        has = p >= 0
+        tok[has] += w.pair[p[has]]
+        s = np.add.reduceat(tok, np.cumsum(ln) - ln, axis=0) / ln[:, None] * SHARP
+        g = (_sigmoid(s @ w.out + w.bias) - t[sent]) * mask[sent]
+        gtok = np.repeat((g @ w.out.T) * (SHARP / ln[:, None]), ln, axis=0).astype(np.float32)
+        gword = _sum_by(back, gtok, len(words)) / wn[:, None]
+        rows, gemb = _sum_rows(f, np.repeat(gword, wn, axis=0))
+        prows, gpair = _sum_rows(p[has], gtok[has])
+        dense = [(None, (s.T @ g).astype(np.float32)), (None, g.sum(axis=0).astype(np.float32))]
+        return len(sent), [(rows.astype(np.int32), gemb.astype(np.float32)), (prows.astype(np.int32), gpair.astype(np.float32)), *dense]
+
+    def step(self, mine: tuple[int, list[tuple]]) -> None:
+        """One step by the gradients of all partitions, summed in their order, so that all weights stay the same everywhere."""
+        all_ = [pickle.loads(m) for m in self.gather(pickle.dumps(mine, protocol=5))]
+        total = sum(n for n, _ in all_)
+        for k, part in enumerate(self.w.parts()):
+            grads = [g[k] for n, g in all_ if n]
+            if not grads:
                 continue
-            ln = n[sent]
-            pos = np.repeat(start[sent] - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
-            words, back = np.unique(ids[pos], return_inverse=True)
-            wn = fn[words]
-            fpos = np.repeat(fstart[words] - (np.cumsum(wn) - wn), wn) + np.arange(wn.sum())
-            f = feats[fpos]
-            vec = np.add.reduceat(w.emb[f], np.cumsum(wn) - wn, axis=0) / wn[:, None]
-            tok = vec[back]
-            p = pair_of[pos]
-            has = p >= 0
-            tok[has] += w.pair[p[has]]
-            s = np.add.reduceat(tok, np.cumsum(ln) - ln, axis=0) / ln[:, None] * SHARP
-            g = (_sigmoid(s @ w.out + w.bias) - t[sent]) * mask[sent] / len(sent) * 8
-            gtok = np.repeat((g @ w.out.T) * (SHARP / ln[:, None]), ln, axis=0).astype(np.float32)
-            gword = _sum_by(back, gtok, len(words)) / wn[:, None]
-            rows, gemb = _sum_rows(f, np.repeat(gword, wn, axis=0))
-            prows, gpair = _sum_rows(p[has], gtok[has])
-            for k, at, grad in ((0, rows, gemb), (1, prows, gpair), (2, slice(None), s.T @ g), (3, slice(None), g.sum(axis=0))):
-                part = w.parts()[k]
-                grads[k][at] += grad * grad
-                part[at] -= rate * grad / np.sqrt(grads[k][at])
-    return w
+            if grads[0][0] is None:
+                at, grad = slice(None), sum(g for _, g in grads)
+            else:
+                at, grad = _sum_rows(np.concatenate([r for r, _ in grads]), np.concatenate([g for _, g in grads]))
+            grad = grad * (8 / total)
+            self.squares[k][at] += grad * grad
+            part[at] -= self.rate * grad / np.sqrt(self.squares[k][at])
+
+    def epochs(self, count: int, first: bool, batch: int, seed: int) -> None:
+        """`batch` documents of this partition a step, as many steps in all partitions as the largest needs."""
+        steps = max(-(-pickle.loads(m) // batch) for m in self.gather(pickle.dumps(self.size)))
+        r = np.random.default_rng(seed)
+        for _ in range(count):
+            t, mask = _targets(_scores(self.w, self.bag, self.ids, self.n), self.doc, self.labels, first) if len(self.n) else (np.zeros((0, 0)),) * 2
+            order = r.permutation(self.size)
+            for a in range(steps):
+                self.step(self.gradient(order[a * batch : (a + 1) * batch], t, mask))
+
+    def restart(self) -> None:
+        for q in self.squares:
+            q[...] = 1e-3
 
 
 def _sum_by(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -326,70 +420,65 @@ class SubjectModel:
         self.names, self.packed, self.threshold = names, packed, threshold
 
 
-def train_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int = 5_000, workers: int = 4, rounds: int = 4, steps: int = 30) -> SubjectModel:
-    """Fit on a sample of at most `sample_docs` labelled documents in `workers` partitions. In each round every partition takes about `steps` steps (at
-    least one epoch) from the common weights; their weights, `workers` arrays of fixed size, are averaged. The first half of the rounds gives sentences the
-    subjects of their documents. An eighth of the sample, held out, chooses the round and the threshold. The fit is bounded; every document is scored."""
+def train_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int = 5_000, workers: int = 4, rounds: int = 4, steps: int = 30, batch: int = 48) -> SubjectModel:
+    """Fit on a sample of at most `sample_docs` labelled documents in `workers` partitions (no more than the cluster runs at once), which take each step together, `batch` documents in all. A round
+    takes at least `steps` steps of twelve documents a partition and at least one epoch. The first half of the rounds gives sentences the
+    subjects of their documents. An eighth of the sample, held out, chooses the round and the threshold. The fit is bounded; every document is scored. A lost task starts the stage, and so the
+    fit, anew, with the same result."""
     spark = docs.sparkSession
     names = [r.subject for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").collect()]
+    alone = spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true"  # barrier stages need executors that stay
+    workers = 1 if alone else max(1, min(workers, spark.sparkContext.defaultParallelism))
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(8)) == 0
     part = F.pmod(F.xxhash64("doc_id"), F.lit(workers)).cast("int").alias("part")
     sample = cut(training_sample(docs, labels, subjects, sample_docs).select("doc_id", "text", "given", held.alias("held"), part))
-    w = Weights(len(names))
     index = {s: i for i, s in enumerate(names)}
 
-    def label_rows(given: pd.Series) -> np.ndarray:
-        y = np.zeros((len(given), len(index)), np.int8)
-        for i, g in enumerate(given):
-            for s in g:
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["doc_id", "text", "given", "held"])]).sort_values("doc_id")
+        meeting = Meeting(BarrierTaskContext.get()) if workers > 1 else None
+        gather = meeting.gather if meeting else lambda m: [m]
+        y = np.zeros((len(rows), len(index)), np.int8)
+        for i, given in enumerate(rows["given"]):
+            for s in given:
                 if s in index:
                     y[i, index[s]] = 1
-        return y
-
-    best = (-1.0, 0.0, w.pack())
-    for rd in range(rounds):
-        sent = spark.sparkContext.broadcast(w.pack())
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: B023
-            pdf = pdf.sort_values("doc_id")
-            now = Weights.unpack(sent.value, len(index))
-            epochs = max(1, min(8, -(-steps * 48 // max(1, len(pdf)))))
-            now = run_epochs(now, pdf["text"].tolist(), label_rows(pdf["given"]), rd < rounds / 2, epochs, seed=rd * 100 + int(pdf["part"].iloc[0]))
-            return pd.DataFrame([[len(pdf), *now.pack()]], columns=["n", "emb", "pair", "out", "bias"])
-
-        back = sample.where("not held").groupBy("part").applyInPandas(step, "n bigint, emb binary, pair binary, out binary, bias binary").collect()
-        if not back:
-            break
-        total = sum(r.n for r in back)
-        moved = [Weights.unpack([bytes(x) for x in r[1:]], len(names)) for r in back]
-        for p, *others in zip(w.parts(), *(m.parts() for m in moved)):
-            p[...] = sum(o * (r.n / total) for o, r in zip(others, back))
-        sent.unpersist()
-        f1, threshold = _held_out(sample.where("held"), w, label_rows)
-        if f1 > best[0]:
-            best = (f1, threshold, w.pack())
-    return SubjectModel(names, best[2], best[1])
+        out = rows["held"].to_numpy(bool)
+        mine, kept = rows[~out], rows[out]
+        w = Weights(len(index))
+        t = Trainer(w, mine["text"].tolist(), y[~out], gather)
+        most = max(pickle.loads(m) for m in gather(pickle.dumps(len(mine))))
+        count = max(1, min(8, -(-steps * 48 // max(1, most))))
+        best = (-1.0, 0.0, w.pack())
+        for rd in range(rounds if most else 0):
+            t.restart()
+            t.epochs(count, rd < rounds / 2, -(-batch // workers), seed=rd)
+            f1, threshold = _held_out(kept["text"].tolist(), y[out], w, gather)
+            if f1 > best[0]:
+                best = (f1, threshold, w.pack())
+        if meeting:
+            meeting.close()
+        if meeting is None or meeting.first:
+            yield pd.DataFrame([[best[1], *best[2]]], columns=["threshold", "emb", "pair", "out", "bias"])
+
+    schema = "threshold double, emb binary, pair binary, out binary, bias binary"
+    placed = sample.repartition(workers, "part").select("doc_id", "text", "given", "held")
+    best = placed.mapInPandas(fit, schema, barrier=workers > 1).collect()
+    if not best:  # nothing to learn from
+        return SubjectModel(names, Weights(len(names)).pack(), 0.0)
+    return SubjectModel(names, [bytes(x) for x in best[0][1:]], best[0][0])
 
 
 GRID = tuple(x / 4 for x in range(-6, 11))
 
 
-def _held_out(held: DataFrame, w: Weights, label_rows: Callable) -> tuple[float, float]:
-    """The best F1 of documents and subjects over the thresholds of GRID, and its threshold, the lowest where they are alike."""
-    sent, subjects = held.sparkSession.sparkContext.broadcast(w.pack()), len(w.bias)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(Weights.unpack(sent.value, subjects))
-        for pdf in batches:
-            y = label_rows(pdf["given"]) > 0
-            texts = pdf["text"].tolist()
-            said = [c >= 2 for c in scorer.counts(texts, GRID)]
-            yield pd.DataFrame([[g, int((p & y).sum()), int(p.sum()), int(y.sum())] for g, p in zip(GRID, said)], columns=["t", "hit", "said", "true"])
-
-    marks = held.mapInPandas(judge, "t double, hit bigint, said bigint, true bigint").groupBy("t").agg(F.sum("hit").alias("h"), F.sum("said").alias("s"), F.sum("true").alias("y")).collect()
-    f1 = {r.t: 2 * r.h / max(1, r.s + r.y) for r in marks}
-    top = max(f1.values(), default=0.0)
-    return top, next((g for g in GRID if f1 and f1.get(g, 0) >= top - 0.001), 0.0)
+def _held_out(texts: list[str], y: np.ndarray, w: Weights, gather: Callable[[bytes], list[bytes]]) -> tuple[float, float]:
+    """The best F1 of all partitions' documents and subjects over the thresholds of GRID, and its threshold, the lowest where they are alike."""
+    said = [c >= 2 for c in Scorer(w).counts(texts, GRID)]
+    mine = np.array([[(p & (y > 0)).sum(), p.sum(), (y > 0).sum()] for p in said], float)
+    total = sum(pickle.loads(m) for m in gather(pickle.dumps(mine)))
+    f1 = 2 * total[:, 0] / np.maximum(1, total[:, 1] + total[:, 2])
+    return float(f1.max()), GRID[int(np.argmax(f1 >= f1.max() - 0.001))]
 
 
 def tag_subjects(docs: DataFrame, model: SubjectModel, least: int = 2) -> DataFrame:

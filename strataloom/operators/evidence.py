@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,28 +66,38 @@ def chain_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return words.join(stems, "_w").where("file <> target").select("file", "target").distinct()
 
 
-def compose_prefixes(mounts: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
-    """(node, prefix) of every router: the prefixes of its parents, each with its own mount path appended. mounts: parent, node, path; roots: node, prefix. Cycles end at `most` mounts."""
-    front = cut(roots.select("node", "prefix").distinct())
-    out = front
-    for _ in range(most):
-        joined = F.regexp_replace(F.concat("prefix", F.lit("/"), "path"), r"/{2,}", "/")
-        front = cut(front.withColumnRenamed("node", "parent").join(mounts, "parent").select("node", joined.alias("prefix")).distinct())
-        if front.isEmpty():
+def compose_prefixes(mounts: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, prefix) of every router: the prefixes of its parents, each with its own mount path appended, through mounts of any depth, or at most `most` where that is given; a way that comes back to a router it has passed ends there.
+    mounts: parent, node, path; roots: node, prefix."""
+    front = cut(roots.select("node", "prefix").distinct().withColumn("passed", F.array("node")))
+    out = []
+    while not front.isEmpty():
+        out.append(front.select("node", "prefix"))
+        if most is not None and len(out) > most:
             break
-        out = out.unionAll(front)
-    return out.distinct()
-
-
-def resolve_constants(values: DataFrame, most: int = 8) -> DataFrame:
-    """(name, value): names that refer to other names (value '@other') followed to a literal; null for cycles and dead ends."""
-    cur = values.select("name", "value")
-    known = cut(cur.select(F.concat(F.lit("@"), "name").alias("value"), F.col("value").alias("_v")))
-    for _ in range(most):
-        cur = cut(cur.join(known, "value", "left").select("name", F.when(F.col("value").startswith("@"), F.col("_v")).otherwise(F.col("value")).alias("value")))
-        if cur.where(F.col("value").startswith("@")).isEmpty():
-            break
-    return cur.select("name", F.when(~F.col("value").startswith("@"), F.col("value")).alias("value"))
+        joined = F.regexp_replace(F.concat("prefix", F.lit("/"), "path"), r"/{2,}", "/")
+        met = front.withColumnRenamed("node", "parent").join(mounts.select("parent", "node", "path"), "parent").where(~F.array_contains("passed", F.col("node")))
+        front = cut(met.select("node", joined.alias("prefix"), F.array_append("passed", F.col("node")).alias("passed")).distinct())
+    return reduce(DataFrame.unionAll, out).distinct() if out else roots.select("node", "prefix").limit(0)
+
+
+def resolve_constants(values: DataFrame) -> DataFrame:
+    """(name, value): names that refer to other names (value '@other') followed to a literal, however far; null for cycles and dead ends. Each round doubles the way that is known, until no reference is left
+    that leads on to another one than before."""
+    cur = cut(values.select("name", "value").dropDuplicates(["name"]))
+    before = -1
+    while True:
+        jump = cur.select(F.concat(F.lit("@"), "name").alias("value"), F.col("value").alias("_v"), F.lit(True).alias("_met"))
+        is_ref = F.coalesce(F.col("value").startswith("@"), F.lit(False))
+        # A name that leads to itself, or to nothing, has no literal.
+        nxt = F.when(~is_ref, F.col("value")).when(F.col("_met") & (F.coalesce("_v", F.lit("")) != F.concat(F.lit("@"), "name")), F.col("_v"))
+        cur = cut(cur.join(jump, "value", "left").select("name", nxt.alias("value")))
+        left = cur.where(F.col("value").startswith("@"))
+        n = left.count()
+        # References that only cycles hold stay as many for ever: after as many doublings as the number of names has binary digits none else is left.
+        before += 1
+        if n == 0 or 2**before > cur.count():
+            return cur.select("name", F.when(~F.col("value").startswith("@"), F.col("value")).alias("value"))
 
 
 def remove_files(plans: DataFrame, owned: str, gone: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ Traversals run in rounds of semi- and anti-joins on node ids; each round is cut
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,22 @@ def first_edges(edges: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return edges.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
-def depths(edges: DataFrame, entries: DataFrame, most: int = 100) -> DataFrame:
-    """(node, depth) of every node that entries (node) reach in at most `most` steps."""
+def depths(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth) of every node that entries (node) reach, in at most `most` steps where that is given. What is known is written together every 16 rounds."""
     links = cut(edges.select("src", "dst").where("src <> dst").distinct())
     front = cut(entries.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = [front]
-    for d in range(1, most + 1):
+    for d in count(1):
+        if most is not None and d > most:
+            break
         known = reduce(DataFrame.unionAll, seen).select("node")
         nxt = links.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         front = cut(nxt.join(known, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         seen.append(front)
+        if len(seen) > 16:
+            seen = [cut(reduce(DataFrame.unionAll, seen))]
     return reduce(DataFrame.unionAll, seen)
 
 

@@ -58,7 +58,7 @@ def foundational_files(spark, d):
 def call_depth(spark, d):
     """Steps from the nearest script, test or example to each file, 999 where none leads there."""
     links = _links(spark, d)
-    return graph.with_unreached(_nodes(links), graph.depths(links, _entries(links), 6))
+    return graph.with_unreached(_nodes(links), graph.depths(links, _entries(links)))
 
 
 def execution_chain(spark, d):
@@ -198,7 +198,7 @@ ORACLES = {
     "edge_dedupe": f"WITH {_S} SELECT src, dst, kind FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ord, line_no, kind) AS rn FROM sup) WHERE rn = 1",
     "edge_kinds": f"WITH {_S} SELECT src, count(*) FILTER (kind = 'A') AS n_a, count(*) FILTER (kind = 'N') AS n_n, count(*) FILTER (kind = 'R') AS n_r FROM sup GROUP BY 1",
     "foundational_files": f"WITH {_L}, {_deg('links')} SELECT node, in_degree FROM deg WHERE in_degree >= greatest(2, floor((SELECT count(*) FROM deg) * 0.05))",
-    "call_depth": f"WITH RECURSIVE {_L}, {_bfs(6)} SELECT n.node, coalesce(r.depth, 999) AS depth FROM nodes n LEFT JOIN reached r ON r.node = n.node",
+    "call_depth": f"WITH RECURSIVE {_L}, {_bfs(200)} SELECT n.node, coalesce(r.depth, 999) AS depth FROM nodes n LEFT JOIN reached r ON r.node = n.node",
     "execution_chain": f"WITH RECURSIVE {_L}, {_bfs(3)} SELECT l.src, l.dst, r.depth + 1 AS depth FROM links l JOIN reached r ON r.node = l.src",
     "label_clusters": f"WITH RECURSIVE {_L}, {_walk(4)} SELECT node, label, depth FROM lab",
     "cluster_rollup": f"""WITH RECURSIVE {_L}, {_walk(4)}, {_deg('links')} SELECT label, count(*) AS n_nodes, min(depth) AS min_depth, max(depth) AS max_depth, round(avg(coalesce(in_degree, 0)), 6) AS avg_in_degree, count(*) FILTER (depth = 0) AS n_seeds

@@ -99,7 +99,7 @@ def stitch_adjacent(spark, d):
 
 
 def prompt_budget(spark, d):
-    """Evidence of each answer that fits 1,500 estimated tokens, most confident first."""
+    """Evidence of each answer that fits 300 estimated tokens, most confident first."""
     e = table(spark, d, "evidence_items").select("answer_id", "id", "confidence", "snippet").dropDuplicates(["answer_id", "id"])
     items = e.select("answer_id", (-F.col("confidence")).alias("neg"), "id", token_estimate(F.coalesce("snippet", F.lit(""))).alias("n_tokens"))
     return hybrid.fits_budget(items, ["answer_id"], ["neg", "id"], "n_tokens", 300).select("answer_id", "id", "n_tokens")

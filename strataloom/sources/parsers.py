@@ -30,10 +30,13 @@ IMPORTS = {
 }
 #: Words before '(' that call nothing.
 NOT_CALLS = "if for while switch catch return function def class elif and or not in with except lambda await new throw func print super typeof sizeof assert".split()
-#: Fixed values: (framework, method group or constant, pattern with method and path) of route declarations.
+#: Fixed values: (framework, languages, pattern with method and path) of route declarations.
+_JS = ("javascript", "typescript")
 ROUTES = (
-    ("express", r"\b(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]"), ("fastapi", r"@\w+\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"), ("laravel", r"Route::(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
-    ("nestjs", r"@(Get|Post|Put|Patch|Delete)\(\s*['\"]?([^'\")]*)['\"]?\s*\)"), ("django", r"\b(re_path|path)\(\s*r?['\"]([^'\"]*)['\"]"), ("go", r"\.(GET|POST|PUT|PATCH|DELETE|HandleFunc|Handle)\(\s*\"([^\"]+)\""), ("falcon", r"\.(add_route)\(\s*['\"]([^'\"]+)['\"]"), ("fastify", r"\bfastify\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]"),
+    ("fastify", _JS, r"\bfastify\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]"), ("nestjs", _JS, r"@(Get|Post|Put|Patch|Delete)\(\s*['\"]?([^'\")]*)['\"]?\s*\)"),
+    ("express", _JS, r"\b(?:app|router)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]"), ("fastapi", ("python",), r"@\w+\.(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
+    ("falcon", ("python",), r"\.(add_route)\(\s*['\"]([^'\"]+)['\"]"), ("django", ("python",), r"\b(re_path|path)\(\s*r?['\"]([^'\"]*)['\"]"), ("laravel", ("php",), r"Route::(get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
+    ("go", ("go",), r"\.(GET|POST|PUT|PATCH|DELETE|HandleFunc|Handle)\(\s*\"([^\"]+)\""),
 )
 
 
@@ -85,10 +88,11 @@ def calls(files: DataFrame, keys: list[str]) -> DataFrame:
 def routes(files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line_no, framework, method, path of route declarations; a method that isn't named is ANY."""
     hit: Column | None = None
-    for framework, p in ROUTES:
+    for framework, languages, p in ROUTES:
         path, m = F.regexp_extract("line", p, 2), F.upper(F.regexp_extract("line", p, 1))
         s = F.struct(F.lit(framework).alias("framework"), F.when(m.isin("GET", "POST", "PUT", "PATCH", "DELETE"), m).otherwise("ANY").alias("method"), path.alias("path"))
-        hit = F.when(F.col("line").rlike(p), s) if hit is None else hit.when(F.col("line").rlike(p), s)
+        ok = F.col("language").isin(*languages) & F.col("line").rlike(p)
+        hit = F.when(ok, s) if hit is None else hit.when(ok, s)
     return _lines(files, keys).withColumn("_r", hit).where("_r is not null").select(*keys, "line_no", "_r.*")
 
 

@@ -30,23 +30,26 @@ def bags(rows: DataFrame, key: list[str], fields: dict[str, float] = FIELDS) ->
 
 
 def postings(bag: DataFrame, key: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf, n_tokens); with `wanted` (term) only of those terms, left out before anything is shuffled."""
-    each = bag.select(*key, "n_tokens", F.explode("bag").alias("t")).select(*key, "n_tokens", "t.term", "t.w")
+    """(key, n_tokens, term, tf), and for each row one without a term, which stands for the row itself; with `wanted` (term) only of those terms: others fall together with that row before
+    anything is shuffled. So one reading of the texts gives lengths and postings."""
+    whole = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))
+    each = bag.select(*key, "n_tokens", F.explode(F.array_append("bag", whole)).alias("t")).select(*key, "n_tokens", "t.term", "t.w")
     if wanted is not None:
-        each = each.join(wanted.select("term"), "term", "left_semi")
-    return each.groupBy(*key, "term", "n_tokens").agg(F.sum("w").alias("tf"))
+        asked = wanted.select("term", F.col("term").alias("_asked"))
+        each = each.join(asked, "term", "left").select(*key, "n_tokens", F.col("_asked").alias("term"), "w")
+    return each.groupBy(*key, "n_tokens", "term").agg(F.sum("w").alias("tf"))
 
 
 def bm25_topk(rows: DataFrame, key: list[str], queries: DataFrame, k: int = 10, fields: dict[str, float] = FIELDS, most_terms: int = 8) -> DataFrame:
-    """(query_id, key, score, rank) of the k best rows of each query (query_id, question).
+    """(query_id, key, score, rank) of the k best rows of each query (query_id, question). key names each row once.
 
-    Statistics are of all rows; of the postings only those of asked terms leave the scan. They are computed once into the shared folder, as document
-    frequencies and scores both need them. Rows without any text count as rows of length 0.
+    Statistics are of all rows; of the postings only those of asked terms leave the scan. They are computed once into the shared folder, as lengths, document
+    frequencies and scores all need them. Rows without any text count as rows of length 0.
     """
     asked = cut(queries.select("query_id", F.explode(fts_terms(F.col("question"), most_terms)).alias("term")))
-    bag = bags(rows, key, fields)
-    stats = bag.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
-    post = cut(postings(bag, key, asked.select("term").distinct()))
+    post = cut(postings(bags(rows, key, fields), key, asked.select("term").distinct()))
+    stats = post.where("term is null").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
+    post = post.where("term is not null")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")

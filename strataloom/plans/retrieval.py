@@ -23,7 +23,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    """Every document whose id is divisible by 20 is a question."""
+    return table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def bm25_search(spark, d):
@@ -183,7 +184,7 @@ def _lines(x: str) -> str:
 
 def _bm25(parts: str, k: int, question: str = "text", name: str = "hits") -> str:
     """CTEs down to `name`; parts gives (key, term, w) rows of all fields."""
-    return f"""q{name} AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_sort(list_distinct({_terms(question)})), 1, 8)) AS term FROM benchmark),
+    return f"""q{name} AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice(list_sort(list_distinct({_terms(question)})), 1, 8)) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
 p{name} AS ({parts}), l{name} AS (SELECT key, count(*) AS n_tokens FROM p{name} GROUP BY key),
 s{name} AS (SELECT (SELECT count(*) FROM keys) AS n, (SELECT count(*) FROM p{name}) / (SELECT count(*) FROM keys)::DOUBLE AS avg_len),
 t{name} AS (SELECT p.key, p.term, sum(p.w) AS tf, max(n_tokens) AS n_tokens FROM p{name} p JOIN l{name} l ON l.key = p.key WHERE p.term IN (SELECT term FROM q{name}) GROUP BY 1, 2),
@@ -220,7 +221,7 @@ ORACLES = {
     "bm25_search": _CHUNK_HITS + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
     "bm25_documents": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 10)} SELECT query_id, key AS doc_id, score, rank FROM hits",
     "lexical_rescore": _CHUNK_HITS
-    + f""", asked AS (SELECT item_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM benchmark)
+    + f""", asked AS (SELECT doc_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)
 SELECT h.query_id, c.chunk_id, coalesce(sum(CASE WHEN contains(lower(c.file_path), term) THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(c.title), term) THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(c.text), term) THEN 0.5 ELSE 0 END), 0)::DOUBLE AS score
 FROM hits h JOIN c ON c.chunk_id = h.key JOIN asked a ON a.query_id = h.query_id GROUP BY 1, 2""",
     "vector_search": _VEC + " SELECT query_id, vec_id, score, rank FROM hits",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions.text import line_array
 
@@ -85,23 +90,45 @@ def read_slice(df: DataFrame, text: str, keys: list[str], start: str, end: str)
     return df.select(*keys, F.when(a <= b, F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n")).otherwise("").alias("text"))
 
 
+_FENCE, _HEAD, _TITLE = re.compile(r"\s{0,3}(```|~~~)"), re.compile(r"#{1,6} +\S"), re.compile(r"^#+\s*|\s*#*\s*$")
+
+
+def sections_of(text: str) -> list[tuple]:
+    """(section_no, level, title, body, start_line, end_line) of a Markdown text."""
+    lines = text[:-1].split("\n") if text.endswith("\n") else text.split("\n") if text else []
+    out, fenced, start, head, body, no = [], False, 1, "", [], 0
+
+    def close(end: int) -> None:
+        if end >= start:
+            out.append((no, len(head) - len(head.lstrip("#")), _TITLE.sub("", head), "\n".join(body).strip(" "), start, end))
+
+    for i, line in enumerate(lines, 1):
+        if _FENCE.match(line):
+            fenced = not fenced
+        if not fenced and _HEAD.match(line):
+            close(i - 1)
+            no, start, head, body = no + 1, i, line, []
+        else:
+            body.append(line)
+    close(len(lines))
+    return out
+
+
 def markdown_sections(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Sections of Markdown texts: section_no (0 before the first heading), level, title and body. Headings inside fenced blocks are no headings."""
-    lines = numbered_lines(df, text, keys)
-    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)").cast("int")
-    marked = lines.withColumn("_f", F.sum(fence).over(upto))
-    head = (F.col("_f") % 2 == 0) & F.col("line").rlike(r"^#{1,6} +\S")
-    numbered = marked.withColumn("_h", head).withColumn("section_no", F.sum(F.col("_h").cast("int")).over(upto).cast("int"))
-    g = numbered.groupBy(*keys, "section_no").agg(
-        F.max(F.when(F.col("_h"), F.col("line"))).alias("_t"),
-        F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line")))).alias("_b"),
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
-    )
-    body = F.trim(F.array_join(F.transform("_b", lambda x: x["line"]), "\n"))
-    return g.select(
-        *keys, "section_no", F.char_length(F.regexp_extract(F.coalesce("_t", F.lit("")), r"^(#+)", 1)).alias("level"), F.regexp_replace(F.coalesce("_t", F.lit("")), r"^#+\s*|\s*#*\s*$", "").alias("title"), body.alias("body"), "start_line", "end_line"
-    )
+    """Sections of Markdown texts: section_no (0 before the first heading), level, title and body. Headings inside fenced blocks are no headings. A text is read in its row, without a shuffle."""
+    cols = ["section_no", "level", "title", "body", "start_line", "end_line"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [sections_of(t) if t is not None else [] for t in pdf["_t"]]
+            rows = pdf[keys].loc[pdf.index.repeat([len(x) for x in found])].reset_index(drop=True)
+            yield pd.concat([rows, pd.DataFrame([y for x in found for y in x], columns=cols)], axis=1)
+
+    some = df.select(*keys, F.col(text).alias("_t"))
+    schema = StructType([some.schema[k] for k in keys])
+    for c in cols:
+        schema = schema.add(c, StringType() if c in ("title", "body") else IntegerType())
+    return some.mapInPandas(run, schema)
 
 
 def symbol_ends(symbols: DataFrame, keys: list[str], total: str) -> DataFrame:

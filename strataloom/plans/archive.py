@@ -17,7 +17,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark, d):
-    f = archive.read_archive(_files(spark, d).select("file_path", "content_hash"), archive.inflate(table(spark, d, "blobs")))
+    f = archive.read_texts(_files(spark, d).select("file_path", "content_hash"), table(spark, d, "blobs"))
     return f.withColumn("language", language_of("file_path"))
 
 

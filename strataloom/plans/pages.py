@@ -45,7 +45,7 @@ def page_links(spark, d):
 
 def _texts(spark, d):
     f = table(spark, d, "files").select("file_path", "content_hash").groupBy("file_path").agg(F.max("content_hash").alias("content_hash"))
-    return archive.read_archive(f, archive.inflate(table(spark, d, "blobs"))).withColumn("language", language_of("file_path"))
+    return archive.read_texts(f, table(spark, d, "blobs")).withColumn("language", language_of("file_path"))
 
 
 def content_signals(spark, d):

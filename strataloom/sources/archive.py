@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.paths import language_of, matches_any, source_kind
 from ..functions.text import line_count
+from ..session import hot_keys, salted_join
 
 SIZE_CAP = 250_000
 
@@ -50,29 +52,52 @@ def build_archive(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, blobs
 
 
-def inflate(blobs: DataFrame) -> DataFrame:
-    """(content_hash, text) of gzip contents, repeated rows once; contents that can't be read are left out."""
+def _text(data: bytes | None) -> str | None:
+    import gzip
+    import zlib
+
+    try:
+        return gzip.decompress(data).decode("utf-8", "replace") if data is not None else None
+    except (OSError, EOFError, ValueError, zlib.error):
+        return None
+
+
+def sound_blobs(blobs: DataFrame) -> DataFrame:
+    """(content_hash in lower case, compressed_content): one readable stream for each content. Damaged streams are left out where they are read, so only sound ones, compressed, are shuffled."""
+
+    @F.pandas_udf("boolean")
+    def readable(c: pd.Series) -> pd.Series:
+        return pd.Series([_text(x) is not None for x in c])
+
+    some = blobs.where("content_hash is not null and compressed_content is not null").select(F.lower("content_hash").alias("content_hash"), "compressed_content")
+    return some.where(readable("compressed_content")).groupBy("content_hash").agg(F.any_value("compressed_content").alias("compressed_content"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import zlib
 
+def _inflated(df: DataFrame) -> DataFrame:
+    """df with `text` in the place of compressed_content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for h, c in zip(pdf["content_hash"], pdf["compressed_content"]):
-                try:
-                    rows.append((h, gzip.decompress(c).decode("utf-8", "replace")))
-                except (OSError, EOFError, ValueError, zlib.error):
-                    pass
-            yield pd.DataFrame(rows, columns=["content_hash", "text"])
+            yield pdf.assign(text=[_text(c) for c in pdf["compressed_content"]]).drop(columns="compressed_content")
+
+    return df.mapInPandas(run, StructType([f for f in df.schema if f.name != "compressed_content"]).add("text", "string"))
+
+
+def inflate(blobs: DataFrame) -> DataFrame:
+    """(content_hash, text) of gzip contents, repeated rows once; contents that can't be read are left out."""
+    return _inflated(sound_blobs(blobs))
+
 
-    some = blobs.where("content_hash is not null and compressed_content is not null")
-    return some.select(F.lower("content_hash").alias("content_hash"), "compressed_content").mapInPandas(run, "content_hash string, text string").groupBy("content_hash").agg(F.any_value("text").alias("text"))
+def read_archive(files: DataFrame, contents: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every path with its text; a content many paths share is joined to each, one that more than `most` share by salts."""
+    f = files.withColumn("_h", F.lower("content_hash"))
+    key = [c for c in files.columns if c != "content_hash"] or ["content_hash"]
+    return salted_join(f, contents.withColumnRenamed("content_hash", "_h"), ["_h"], "inner", key, hot_keys(f.select("_h"), ["_h"], most)).drop("_h")
 
 
-def read_archive(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """Every path with its text; a content many paths share is joined to each."""
-    return files.withColumn("_h", F.lower("content_hash")).join(contents.withColumnRenamed("content_hash", "_h"), "_h").drop("_h")
+def read_texts(files: DataFrame, blobs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every path with its text, as read_archive of inflated contents gives, but the contents are met compressed and inflated after the join, so that no inflated text is shuffled."""
+    return _inflated(read_archive(files, sound_blobs(blobs), most))
 
 
 def missing_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:

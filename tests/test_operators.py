@@ -214,7 +214,7 @@ def test_same_result_for_any_number_of_partitions(spark, data, n):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     asked = {x.doc_id for x in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 20 = 0 and text is not null").collect()}
-    assert asked and {x[0] for x in got} <= asked and len(got) == 10 * len({x[0] for x in got})
+    assert asked and {x[0] for x in got} <= asked and 5 * len(asked) < len(got) <= 10 * len(asked)
     assert got == {tuple(x) for x in retrieval.bm25_documents(spark, data).collect()}
 
 

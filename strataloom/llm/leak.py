@@ -152,17 +152,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, passage: int = 12, budget: int
     blank texts have no pairs. Copies of a document, repeated rows and repeated items count as one pair per id.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
-        if blocks[-1] and size + len(r.text) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, words(r.text)))
-        size += len(r.text)
+
+    def blocks() -> Iterator[list[tuple[int, list[str]]]]:
+        one, size = [], 0
+        for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
+            if one and size + len(r.text) > block_chars:
+                yield one
+                one, size = [], 0
+            one.append((r.item_id, words(r.text)))
+            size += len(r.text)
+        yield one
+
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     out = None
-    for block in blocks:
+    for block in blocks():  # the driver holds one at a time: a sent block lies on disk
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

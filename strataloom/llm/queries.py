@@ -41,6 +41,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"))
 
 
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each oversized chunk the hash of its pieces put together without overlaps, and whether all are under the limit."""
+    p = split_oversized(table(spark, sf_dir, "chunks")).select("chunk_id", "piece_no", "text", "overlap_chars").distinct()
+    new = F.struct("piece_no", F.substring("text", F.col("overlap_chars") + 1, F.char_length("text")).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda x: x["t"]), "")
+    return p.groupBy("chunk_id").agg(F.sha2(whole, 256).alias("text_hash"), (F.max(F.char_length("text")) <= 4000).alias("within_limit"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of generated, minified, vendored and bulk-data source files."""
     return classify_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "blobs")).where("made is not null").select("file_path").distinct()
@@ -79,6 +87,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target source whether its cap is kept and its share met, where it has documents; the targets of those that have none are shared out."""
+    m = _mix(spark, sf_dir)
+    live = F.col("tokens_available") > 0
+    whole = sum(r["target_share"] for r in m.plan if r["available"])
+    near = ~live | (F.abs(F.col("share_reached") - F.col("target_share") / F.lit(whole)) < 0.01)
+    most = m.uses.groupBy("source").agg(F.max("uses").alias("most"))
+    return m.shares.join(most, "source", "left").select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"), near.alias("share_met"))
+
+
 def p7_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All uses at their slots."""
     return interleaved(_mix(spark, sf_dir))
@@ -102,6 +120,8 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[\x{00AD}\x{034F}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "p3_checks": "SELECT DISTINCT chunk_id, sha256(text) AS text_hash, true AS within_limit FROM chunks WHERE length(text) > 4000",
+    "p7_checks": "SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') AS source, true AS cap_kept, true AS share_met FROM mix_targets WHERE source IS NOT NULL",
     "p6_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -110,4 +130,4 @@ bg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_interleaved": p7_interleaved, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_checks": p3_checks, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p7_interleaved": p7_interleaved, "p8_found": p8_found, "p8_composition": p8_composition}

@@ -404,7 +404,7 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
     norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]+", " ")
     known = subjects.where("subject is not null").select("subject", norm(F.col("subject")).alias("k")).dropDuplicates(["k"])
     given = labels.where("doc_id is not null").select("doc_id", norm(F.col("subject")).alias("k")).distinct()
-    return given.join(F.broadcast(known), "k", "left").where("k is null or subject is not null").select("doc_id", "subject").distinct()
+    return given.join(known, "k", "left").where("k is null or subject is not null").select("doc_id", "subject").distinct()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int) -> DataFrame:

@@ -54,27 +54,35 @@ def first_deliveries(messages: DataFrame, keys: list[str], ts: str, late: str) -
     return messages.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def admitted(requests: DataFrame, by: str, ts: str, cost: str, seconds: int, most_requests: int, most_cost: float) -> DataFrame:
+def admitted(requests: DataFrame, by: str, ts: str, cost: str, seconds: int, most_requests: int, most_cost: float, late: str = "1 hour") -> DataFrame:
     """(by, ts, cost, admitted): a request is admitted if, with it, its key has no more than most_requests and most_cost among those admitted in the last `seconds`.
 
-    The state of a key is the admitted requests of its last `seconds`: at most most_requests of them.
+    The requests of a key in a micro-batch are taken in order of time. Its state is the admitted requests of its last `seconds`: at most most_requests of them; it goes once the watermark, `late` behind
+    the newest request, has passed the last of them by `seconds`, so that keys that don't come again leave nothing behind.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(zip(*state.get)) if state.exists else []
-        for pdf in batches:
-            out = []
-            for t, c in sorted(zip(pdf["t"], pdf["c"])):
-                recent = [(a, b) for a, b in recent if a > t - seconds * 1_000_000]
-                ok = len(recent) < most_requests and sum(b for _, b in recent) + c <= most_cost
-                if ok:
-                    recent.append((t, c))
-                out.append((key[0], t, c, ok))
-            yield pd.DataFrame(out, columns=["k", "t", "c", "admitted"])
+        rows = sorted((t, c) for pdf in batches for t, c in zip(pdf["t"], pdf["c"]))
+        out = []
+        for t, c in rows:
+            recent = [(a, b) for a, b in recent if a > t - seconds * 1_000_000]
+            ok = len(recent) < most_requests and sum(b for _, b in recent) + c <= most_cost
+            if ok:
+                recent.append((t, c))
+            out.append((key[0], t, c, ok))
         state.update(([a for a, _ in recent], [b for _, b in recent]))
-
-    keyed = requests.select(F.col(by).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(cost).cast("double").alias("c"))
-    out = keyed.groupBy("k").applyInPandasWithState(step, "k string, t bigint, c double, admitted boolean", "times array<bigint>, costs array<double>", "append", GroupStateTimeout.NoTimeout)
+        newest = max((t for t, _ in rows), default=0) // 1000
+        state.setTimeoutTimestamp(max(newest + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["k", "t", "c", "admitted"])
+
+    at = F.col(ts).cast("timestamp")
+    keyed = requests.select(F.col(by).cast("string").alias("k"), at.alias("at"), F.col(cost).cast("double").alias("c")).where("at is not null").withWatermark("at", late)
+    timed = keyed.select("k", "at", F.unix_micros("at").alias("t"), "c")
+    out = timed.groupBy("k").applyInPandasWithState(step, "k string, t bigint, c double, admitted boolean", "times array<bigint>, costs array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(F.col("k").alias(by), F.timestamp_micros("t").alias(ts), F.col("c").alias(cost), "admitted")
 
 

@@ -37,7 +37,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P2 = r"""
-WITH refs AS (
+WITH RECURSIVE refs AS (
   SELECT 'files.content_hash' AS ref_field, file_path AS record_key, content_hash AS ref_value, archived_at AS at, 'blobs' AS tab, lower(content_hash) AS k, 'files' AS ctab,
          regexp_replace(replace(regexp_replace(file_path, '#.*$', ''), '\', '/'), '^(\./|/)+', '') AS ck FROM files
   UNION ALL SELECT 'chunks.owned_files', chunk_id, v, indexed_at, 'files', regexp_replace(replace(regexp_replace(v, '#.*$', ''), '\', '/'), '^(\./|/)+', ''), 'chunks', chunk_id
@@ -58,7 +58,7 @@ WITH refs AS (
   SELECT DISTINCT r.tab, r.k, r.at FROM refs r JOIN targets t ON r.tab = t.tab AND r.k = t.k AND t.since <= r.at AND (t.until IS NULL OR t.until > r.at)
 ), judged AS (
   SELECT r.*, h.k IS NOT NULL AS live FROM refs r LEFT JOIN hits h ON h.tab = r.tab AND h.k = r.k AND h.at = r.at WHERE trim(r.ref_value) <> ''
-), dead0 AS (SELECT DISTINCT ctab, ck FROM judged WHERE NOT live)
+), dead0(ctab, ck) AS (SELECT ctab, ck FROM judged WHERE NOT live UNION SELECT j.ctab, j.ck FROM dead0 d JOIN judged j ON j.tab = d.ctab AND j.k = d.ck AND j.live), dead AS (SELECT DISTINCT ctab, ck FROM dead0)
 """
 
 ORACLES = {
@@ -66,7 +66,7 @@ ORACLES = {
     "p2_report": _P2
     + """SELECT j.ref_field, strftime(j.at, '%Y-%m') AS period, CASE WHEN NOT j.live THEN 'direct' WHEN d.ck IS NOT NULL THEN 'inherited' ELSE 'sound' END AS status,
   count(*) AS n_refs, count(DISTINCT j.record_key) AS n_records
-FROM judged j LEFT JOIN dead0 d ON d.ctab = j.tab AND d.ck = j.k GROUP BY 1, 2, 3""",
+FROM judged j LEFT JOIN dead d ON d.ctab = j.tab AND d.ck = j.k GROUP BY 1, 2, 3""",
     "p5_found": """
 WITH m AS (SELECT delivery_id, received_at, lower(regexp_replace(job_id, '^\\s+|\\s+$', '', 'g')) AS a, lower(regexp_replace(owner, '^\\s+|\\s+$', '', 'g')) AS b,
   lower(regexp_replace(repo, '^\\s+|\\s+$', '', 'g')) AS c FROM job_messages)

@@ -250,6 +250,11 @@ SELECT answer_id, chunk_id, e.file_path, round(greatest(0.1, score - 0.05), 6) A
     "stitch_adjacent": f"""WITH {_C}, a AS (SELECT chunk_id, file_path, contains(lower(text), 'checkpoint') AS hit, row_number() OVER (PARTITION BY file_path ORDER BY start_line, end_line, chunk_id) AS n
   FROM c WHERE corpus = 'code' AND file_path <> '')
 SELECT a.chunk_id, a.file_path, min(abs(a.n - b.n)) AS distance FROM a JOIN a b ON a.file_path = b.file_path AND b.hit GROUP BY 1, 2 HAVING min(abs(a.n - b.n)) <= 1""",
+    "prompt_budget": """WITH RECURSIVE e AS (SELECT DISTINCT answer_id, id, confidence, greatest(1, ceil(length(coalesce(snippet, '')) / 3.0))::INT AS n FROM evidence_items),
+t AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY -confidence NULLS FIRST, id) AS rn FROM e),
+w AS (SELECT answer_id, rn, id, n, n <= 300 AS ok, CASE WHEN n <= 300 THEN 300 - n ELSE 300 END AS room FROM t WHERE rn = 1
+  UNION ALL SELECT t.answer_id, t.rn, t.id, t.n, t.n <= w.room, CASE WHEN t.n <= w.room THEN w.room - t.n ELSE w.room END FROM w JOIN t ON t.answer_id = w.answer_id AND t.rn = w.rn + 1)
+SELECT answer_id, id, n::BIGINT AS n_tokens FROM w WHERE ok""",
     "line_windows": f"""WITH d AS (SELECT doc_id, {_lines('text')} AS l FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, ceil(greatest(len(l) - 12, 0) / 9.0)::BIGINT + 1)) * 9 AS s FROM d WHERE len(l) > 0)
 SELECT doc_id, s + 1 AS start_line, least(s + 12, n) AS end_line, array_to_string(list_slice(l, s + 1, least(s + 12, n)), chr(10)) AS text FROM s""",

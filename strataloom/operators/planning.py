@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def overlap_assign(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """(item, grp, overlap): the group with the most tokens in common, ties to the smaller; items without any have none. items, groups: (id, tokens array). Joined on tokens, the
-    rarest side first; a token so common that it would join everything costs its postings once for each item that has it, as the count needs."""
+    """(item, grp, overlap): the group with the most tokens in common, ties to the smaller; items without any have none. items, groups: (id, tokens array). Joined on tokens: a
+    token that many items and groups share costs the product of both, as the exact count needs, combined before the shuffle; drop such tokens before, where they say nothing."""
     i = items.select(F.col("id").alias("item"), F.explode(F.array_distinct("tokens")).alias("token"))
     g = groups.select(F.col("id").alias("grp"), F.explode(F.array_distinct("tokens")).alias("token"))
     n = i.join(g, "token").groupBy("item", "grp").agg(F.count("*").alias("overlap"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import terms
 from ..session import cut
@@ -29,33 +34,130 @@ def bags(rows: DataFrame, key: list[str], fields: dict[str, float] = FIELDS) ->
     return rows.select(*key, reduce(F.concat, [weighted(f, w) for f, w in fields.items()]).alias("bag")).withColumn("n_tokens", F.size("bag"))
 
 
-def postings(bag: DataFrame, key: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """(key, n_tokens, term, tf), and for each row one without a term, which stands for the row itself; with `wanted` (term) only of those terms: others fall together with that row before
-    anything is shuffled. So one reading of the texts gives lengths and postings."""
-    whole = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("w"))
-    each = bag.select(*key, "n_tokens", F.explode(F.array_append("bag", whole)).alias("t")).select(*key, "n_tokens", "t.term", "t.w")
-    if wanted is not None:
-        asked = wanted.select("term", F.col("term").alias("_asked"))
-        each = each.join(asked, "term", "left").select(*key, "n_tokens", F.col("_asked").alias("term"), "w")
-    return each.groupBy(*key, "n_tokens", "term").agg(F.sum("w").alias("tf"))
+def postings(bag: DataFrame, key: list[str], asked: pa.Array) -> DataFrame:
+    """(key, n_tokens, terms, tf): for each row the places in `asked` of the terms that it has, and their summed weights. Made where the row is; nothing is shuffled."""
+    sent = bag.sparkSession.sparkContext.broadcast(asked)
+    schema = StructType([*bag.select(*key, "n_tokens").schema, *StructType.fromDDL("terms array<int>, tf array<double>")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_terms = max(1, len(sent.value))
+        for b in batches:
+            col = b.column("bag")
+            flat = col.flatten()
+            term = pc.index_in(pc.struct_field(flat, "term"), value_set=sent.value).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), col.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(term >= 0)
+            cell, back = np.unique(row[at] * n_terms + term[at], return_inverse=True)
+            tf = np.bincount(back, weights=pc.struct_field(flat, "w").to_numpy(zero_copy_only=False)[at], minlength=len(cell))
+            ends = pa.array(np.searchsorted(cell, np.arange(b.num_rows + 1) * n_terms), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cell % n_terms).astype(np.int32), tf)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*key, "n_tokens")), *lists], names=schema.names)
 
-def bm25_topk(rows: DataFrame, key: list[str], queries: DataFrame, k: int = 10, fields: dict[str, float] = FIELDS, most_terms: int = 8) -> DataFrame:
-    """(query_id, key, score, rank) of the k best rows of each query (query_id, question). key names each row once.
+    return bag.select(*key, "n_tokens", "bag").mapInArrow(run, schema)
 
-    Statistics are of all rows; of the postings only those of asked terms leave the scan. They are computed once into the shared folder, as lengths, document
-    frequencies and scores all need them. Rows without any text count as rows of length 0.
+
+def best_rows(post: DataFrame, key: list[str], asked: pa.Table, by: list[str], ids: StructType, idf: np.ndarray, avg_len: float, k: int, block: int) -> DataFrame:
+    """(by, key, score) of the k best rows of each query in each partition of post, which is in order of key. asked: by, and the places of the query's terms.
+
+    A task scores all queries against a block of rows at a time and keeps of each query the k best rows so far, so neither the pairs of queries and rows nor the postings of more than a
+    block are ever held, written or sent. A query has as hits the rows with one of its terms at least; ties go to the row that comes first.
+    """
+    sent = post.sparkSession.sparkContext.broadcast((asked, idf))
+    schema = StructType([*ids, *post.select(*key).schema, *StructType.fromDDL("score double")])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= block:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, weight = sent.value
+        wanted = queries.column("terms").to_pylist()
+        best = np.zeros((len(wanted), k))
+        place = np.zeros((len(wanted), k), np.int64)
+        have = np.zeros(len(wanted), np.int64)
+        keys, begin = [], 0
+        for t in blocks(batches):
+            n = t.num_rows
+            keys.append(t.select(key))
+            lists, tf = t.column("terms").combine_chunks(), t.column("tf").combine_chunks().flatten().to_numpy()
+            term = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+            part = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * t.column("n_tokens").to_numpy()[row] / avg_len))
+            order = np.argsort(term, kind="stable")
+            row, part = row[order], part[order]
+            ends = np.searchsorted(term[order], np.arange(len(weight) + 1)).tolist()
+            full = {}  # a common term has a number for every row
+            for x in np.flatnonzero(np.diff(ends) > n // 8).tolist():
+                full[x] = np.zeros(n)
+                full[x][row[ends[x] : ends[x + 1]]] = part[ends[x] : ends[x + 1]]
+            total = np.empty(n)
+            for q, own in enumerate(wanted):
+                total.fill(0)
+                for x in own:
+                    if x in full:
+                        total += full[x]
+                    elif ends[x] < ends[x + 1]:
+                        total[row[ends[x] : ends[x + 1]]] += part[ends[x] : ends[x + 1]]
+                h = int(have[q])
+                at = np.flatnonzero(total > (best[q, k - 1] - 1e-6 if h == k and best[q, k - 1] > 1e-6 else 0))
+                score = np.floor(total[at] * 1e6 + 0.5) / 1e6
+                if h == k:
+                    better = score > best[q, k - 1]
+                    at, score = at[better], score[better]
+                elif len(at) > k:
+                    good = score >= np.partition(score, -k)[-k]
+                    at, score = at[good], score[good]
+                if not len(at):
+                    continue
+                score, at = np.concatenate((best[q, :h], score)), np.concatenate((place[q, :h], at + begin))
+                first = np.argsort(-score, kind="stable")[:k]
+                have[q] = h = len(first)
+                best[q, :h], place[q, :h] = score[first], at[first]
+            begin += n
+        if not keys:
+            return
+        named = pa.concat_tables(keys)
+        for a in range(0, len(wanted), step := max(1, 50_000 // k)):
+            q, r = np.nonzero(np.arange(k) < have[a : a + step, None])
+            q += a
+            found = [*queries.select(by).take(pa.array(q)).columns, *named.take(pa.array(place[q, r])).columns, pa.array(best[q, r])]
+            yield from pa.Table.from_arrays(found, names=schema.names).combine_chunks().to_batches()
+
+    return post.mapInArrow(run, schema)
+
+
+def bm25_topk(rows: DataFrame, key: list[str], queries: DataFrame, k: int = 10, fields: dict[str, float] = FIELDS, most_terms: int = 8, by: list[str] | None = None, block: int = 32_768) -> DataFrame:
+    """(query_id, key, score, rank) of the k best rows of each query (query_id, question). key names each row once, `by` (default query_id) each query.
+
+    Statistics are of all rows. One reading of the texts writes each row's length and its postings of asked terms into the shared folder, as lengths, document frequencies and scores all
+    need them. The questions' terms are sent to all tasks; a task gives its k best rows of each query, and one window ranks those (`block`: see best_rows). Rows without any text count as rows of length 0.
     """
-    asked = cut(queries.select("query_id", F.explode(fts_terms(F.col("question"), most_terms)).alias("term")))
-    post = cut(postings(bags(rows, key, fields), key, asked.select("term").distinct()))
-    stats = post.where("term is null").agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
-    post = post.where("term is not null")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_len")))
-    scored = asked.join(weight, "term").join(post, "term").groupBy("query_id", *key).agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
+    by = by or ["query_id"]
+    spark = rows.sparkSession
+    told = queries.select(*by, fts_terms(F.col("question"), most_terms).alias("terms"))
+    ids = told.select(*by).schema
+    told = told.toArrow()
+    words = told.column("terms").combine_chunks()
+    asked = pc.unique(words.flatten()).sort()
+    places = pa.ListArray.from_arrays(words.offsets, pc.index_in(words.flatten(), value_set=asked)) if len(words) else pa.array([], pa.list_(pa.int32()))
+    told = told.select(by).append_column("terms", places)
+
+    post = cut(postings(bags(rows, key, fields), key, asked))
+    n, avg_len = post.agg(F.count("*"), F.avg("n_tokens")).first()
+    df = np.zeros(len(asked))
+    for x in post.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+        df[x.term] = x["count"]
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+    tasks = max(min(2 * spark.sparkContext.defaultParallelism, -(-n // 4096)), -(-n // (1 << 20)), 1)
+    scored = best_rows(post.repartition(tasks, *key).sortWithinPartitions(*key), key, told, by, ids, idf, avg_len, k, block)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), *key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

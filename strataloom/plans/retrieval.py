@@ -71,9 +71,9 @@ def hybrid_merge(spark, d):
     q = _questions(spark, d)
     half = q.select("query_id", F.substring("question", F.lit(1), (F.char_length("question") / 2).cast("int")).alias("question"))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    a = bm25_topk(rows, ["doc_id"], q, 20, {"text": 1.0}).withColumn("list_no", F.lit(1))
-    b = bm25_topk(rows, ["doc_id"], half, 20, {"text": 1.0}).withColumn("list_no", F.lit(2))
-    return hybrid.merge_hits(a.unionByName(b), "query_id", ["doc_id"], "score", ["list_no", "rank"]).select("query_id", "doc_id", "score", "list_no")
+    lists = q.withColumn("list_no", F.lit(1)).unionByName(half.withColumn("list_no", F.lit(2)))
+    hits = bm25_topk(rows, ["doc_id"], lists, 20, {"text": 1.0}, by=["query_id", "list_no"])
+    return hybrid.merge_hits(hits, "query_id", ["doc_id"], "score", ["list_no", "rank"]).select("query_id", "doc_id", "score", "list_no")
 
 
 def reserve_and_fill(spark, d):

@@ -28,7 +28,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["balanced_candidates", "bm25_search", "lexical_rescore", "hybrid_merge", "bm25_documents"])
+@pytest.mark.parametrize("name", ["balanced_candidates", "bm25_search", "lexical_rescore", "hybrid_merge", "bm25_documents", "reserve_and_fill"])
 def test_pairs_of_questions_and_rows_are_not_shuffled(spark, alike, name):
     before = shuffled(spark)
     assert retrieval.QUERIES[name](spark, alike).count() >= 100

@@ -10,7 +10,7 @@ from ..functions.text import STOPWORDS, content_hash, file_references, line_coun
 from ..operators import chunking, hybrid
 from ..operators.lexical import bm25_topk, fts_terms, lexical_score
 from ..operators.vector import vector_topk
-from ..session import table
+from ..session import first_of_each, table
 
 _PAT = "checkpoint|snapshot"
 
@@ -18,8 +18,7 @@ _PAT = "checkpoint|snapshot"
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row for each chunk_id: the first indexed."""
     c = table(spark, d, "chunks").select("chunk_id", "corpus", "kind", "file_path", "title", "text", "symbol_names", "start_line", "end_line", "linked_file_paths", "indexed_at")
-    cols = [x for x in c.columns if x != "chunk_id"]
-    return c.groupBy("chunk_id").agg(F.min_by(F.struct(*cols), F.struct("indexed_at", "file_path", "start_line", "end_line", "corpus")).alias("r")).select("chunk_id", "r.*")
+    return first_of_each(c, "chunk_id", ["indexed_at", "file_path", "start_line", "end_line", "corpus"])
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:

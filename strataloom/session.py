@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,24 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return some.orderBy(h, *keys).limit(most)
 
 
+def parted(df: DataFrame, h: Column, hashes: DataFrame, most: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose 64-bit hash h is in the single column of `hashes`, and the other rows; nothing of df is shuffled. As the hashes are broadcast, with over `most` of them all rows are in the first
+    part. Hashes may meet, so an exact join or grouping of the first part has to follow."""
+    held = cut(hashes.toDF("_h").distinct())
+    if held.count() > most:
+        return df, df.where(F.lit(False))
+    a = df.withColumn("_h", h)
+    return tuple(a.join(F.broadcast(held), "_h", how).drop("_h") for how in ("left_semi", "left_anti"))
+
+
+def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of each key the first row by `order`. Rows whose key occurs once stay where they are; only those that may have another (see parted) are shuffled."""
+    h, rest = F.xxhash64(key), [c for c in df.columns if c != key]
+    again, once = parted(df, h, df.groupBy(h.alias("_h")).count().where("count > 1").select("_h"))
+    first = again.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
+    return once.select(first.columns).unionByName(first)
+
+
 def hot_keys(df: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame | None:
     """(keys, _salts) of the keys with over `most` rows, None if there are none. The count is combined before the shuffle; at most rows / most keys can be hot."""
     hot = cut(df.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("_salts")))

@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.operators.lexical import bm25_topk
 from strataloom.plans import retrieval
+from strataloom.session import first_of_each, parted
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +68,48 @@ def test_bm25_without_rows_or_questions(spark):
     assert bm25_topk(rows.limit(0), ["k"], q, 3, {"text": 1.0}).count() == 0
     assert bm25_topk(rows, ["k"], q.limit(0), 3, {"text": 1.0}).count() == 0
     assert bm25_topk(rows, ["k"], q.selectExpr("query_id", "'?' as question"), 3, {"text": 1.0}).count() == 0
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """400 chunks with 10,000 characters of text each, of which two are there twice, and two questions."""
+    d, rng = str(tmp_path_factory.mktemp("wide")), random.Random(1)
+    docs = [(i, f"aa bb x{i}", "code") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, doc_kind string").write.parquet(f"{d}/documents.parquet")
+    chunks = [(f"c{i}", "code", "code", f"a{i}.py", "t", "aa " * (i % 40 == 0) + f"{rng.getrandbits(40_000):x}", ["s"], 1, 2, [], i) for i in range(400)]
+    chunks += [(*chunks[i][:5], "bb late", *chunks[i][6:10], 900) for i in (3, 80)]
+    schema = "chunk_id string, corpus string, kind string, file_path string, title string, text string, symbol_names array<string>, start_line int, end_line int, linked_file_paths array<string>, indexed_at bigint"
+    spark.createDataFrame(chunks, schema).repartition(4).write.parquet(f"{d}/chunks.parquet")
+    return d
+
+
+def shuffled_bytes(spark) -> int:
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_texts_of_chunks_are_not_shuffled(spark, wide, name):
+    before = shuffled_bytes(spark)
+    got = {(x.query_id, x.chunk_id) for x in retrieval.QUERIES[name](spark, wide).collect()}
+    assert got == {(q, f"c{i}") for q in (0, 20) for i in range(0, 400, 40)}  # "bb late" was indexed later than the first text of its chunk
+    assert shuffled_bytes(spark) - before < 1_000_000  # all texts are 4 MB, in hexadecimal digits
+
+
+def test_first_of_each_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *(f"k{i}" for i in range(300))]), i, f"v{i}") for i in rng.sample(range(10_000), 400)]
+    want = {}
+    for k, n, v in rows:
+        want[k] = min(want.get(k, (n, v)), (n, v))
+    got = first_of_each(spark.createDataFrame(rows, "k string, n int, v string").repartition(5), "k", ["n"]).collect()
+    assert len(got) == len(want) and {x.k: (x.n, x.v) for x in got} == want
+
+
+@pytest.mark.parametrize(("n", "most"), [(0, 10), (10, 10), (11, 10)])
+def test_parted_gives_each_row_once(spark, n, most):
+    ids = spark.range(1_000).select("id", F.xxhash64("id").alias("h"))
+    a, b = ({x.id for x in part.collect()} for part in parted(ids, F.col("h"), ids.where(F.col("id") < n).select("h"), most))
+    assert a == set(range(n if n <= most else 1_000)) and b == {*range(1_000)} - a

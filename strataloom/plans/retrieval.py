@@ -10,7 +10,7 @@ from ..functions.text import STOPWORDS, content_hash, file_references, line_coun
 from ..operators import chunking, hybrid
 from ..operators.lexical import bm25_topk, fts_terms, lexical_score
 from ..operators.vector import vector_topk
-from ..session import first_of_each, table
+from ..session import cut, first_of_each, parted, table
 
 _PAT = "checkpoint|snapshot"
 
@@ -41,13 +41,15 @@ def bm25_documents(spark, d):
 
 
 def lexical_rescore(spark, d):
-    """BM25 candidates scored anew by the terms that path, title and text contain."""
+    """BM25 candidates scored anew by the terms that path, title and text contain. Rows that are no candidate are left out before the join moves texts; each text is put in lower case once."""
     rows = _chunks(spark, d).select("chunk_id", "file_path", "title", F.array_join("symbol_names", " ").alias("symbols"), "text")
     q = _questions(spark, d)
-    hits = bm25_topk(rows, ["chunk_id"], q, 10).select("query_id", "chunk_id")
-    low = lambda c: F.lower(F.col(c))
-    score = lexical_score(fts_terms(F.col("question"), 1000), {"p": (low("file_path"), 2.0), "t": (low("title"), 1.5), "x": (low("text"), 0.5)})
-    return hits.join(rows, "chunk_id").join(q, "query_id").select("query_id", "chunk_id", score.alias("score"))
+    hits = cut(bm25_topk(rows, ["chunk_id"], q, 10).select("query_id", "chunk_id"))
+    h = F.xxhash64("chunk_id")
+    low = parted(rows, h, hits.select(h))[0].select("chunk_id", F.lower("file_path").alias("p"), F.lower("title").alias("t"), F.lower("text").alias("x"))
+    asked = q.select("query_id", fts_terms(F.col("question"), 1000).alias("terms"))
+    score = lexical_score(F.col("terms"), {"p": (F.col("p"), 2.0), "t": (F.col("t"), 1.5), "x": (F.col("x"), 0.5)})
+    return hits.join(low, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", score.alias("score"))
 
 
 def vector_search(spark, d):

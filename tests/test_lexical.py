@@ -90,7 +90,7 @@ def shuffled_bytes(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["bm25_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "lexical_rescore"])
 def test_texts_of_chunks_are_not_shuffled(spark, wide, name):
     before = shuffled_bytes(spark)
     got = {(x.query_id, x.chunk_id) for x in retrieval.QUERIES[name](spark, wide).collect()}

@@ -54,6 +54,12 @@ def myers(pattern_eq: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
+def spans(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each first to before its end, one after the other."""
+    n = end - first
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class PieceIndex:
     """All pieces of all passages of a block of items."""
 
@@ -71,14 +77,18 @@ class PieceIndex:
             for a in range(len(s) - passage + 1):
                 windows.append(s[a : a + passage])
                 owner.append(k)
-        self.windows = np.array(windows, np.int64).reshape(-1, passage)
-        self.owner = np.array(owner, np.int64)
-        self.pieces = []  # of each piece: offset, length, sorted hashes, where each hash's windows begin and end, windows
-        for a, b in zip(cuts, cuts[1:]):
+        # Items repeat passages; each passage is looked up and verified once, for all items that hold it.
+        self.windows, which = np.unique(np.array(windows, np.int64).reshape(-1, passage), axis=0, return_inverse=True)
+        held = np.unique(which.reshape(-1) * np.int64(len(items) or 1) + np.array(owner, np.int64))
+        self.owner = held % (len(items) or 1)
+        self.owned = np.searchsorted(held // (len(items) or 1), np.arange(len(self.windows) + 1))
+        self.pieces = []  # of each piece: offset, length, sorted hashes, where each hash's windows begin and end in its row of self.order
+        self.order = np.zeros((budget + 1, len(self.windows)), np.int64)
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
             h = self.hashes(self.windows[:, a:b])
-            order = np.argsort(h, kind="stable")
+            self.order[p] = order = np.argsort(h, kind="stable")
             unique, first = np.unique(h[order], return_index=True)
-            self.pieces.append((a, b - a, unique, first, np.append(first[1:], len(h)), order))
+            self.pieces.append((a, b - a, unique, first, np.append(first[1:], len(h))))
 
     @staticmethod
     def hashes(rows: np.ndarray) -> np.ndarray:
@@ -90,7 +100,7 @@ class PieceIndex:
         return h
 
     def match(self, texts: list[str], step: int = 200_000) -> pd.DataFrame:
-        """(row, item, distance) of each text and item with a passage within the budget."""
+        """(row, item, distance) of each text and item with a passage within the budget. Hits are verified in lots of about `step` in order of place, so that many of them take no more memory than few."""
         gap, get = self.passage + 2 * self.budget + 1, self.vocab.get
         stream, row_of = [], []
         pad = [0] * gap
@@ -101,8 +111,8 @@ class PieceIndex:
             row_of.append(len(ids) + gap)
         seq = np.concatenate([np.zeros(gap, np.int64), np.array(stream, np.int64)])
         row = np.concatenate([np.zeros(gap, np.int64), np.repeat(np.arange(len(texts)), row_of)])
-        pairs: list[np.ndarray] = []
-        for offset, size, unique, first, end, order in self.pieces:
+        found: list[np.ndarray] = []  # of each piece hit: where its passage would start, where its windows begin and end, the piece
+        for p, (offset, size, unique, first, end) in enumerate(self.pieces):
             if not len(unique):
                 continue
             known = np.flatnonzero(seq[: len(seq) - size + 1])
@@ -114,34 +124,38 @@ class PieceIndex:
             k = np.minimum(np.searchsorted(unique, h), len(unique) - 1)
             hit = unique[k] == h
             at, k = known[hit], k[hit]
-            n = end[k] - first[k]
-            where = np.repeat(at, n)
-            window = order[np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            pairs.append(np.stack([window, where - offset]))
-        if not pairs:
-            return pd.DataFrame({"row": [], "item": [], "distance": []}, dtype=np.int64)
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        out = []
-        around = np.arange(-self.budget, self.passage + self.budget)
-        bits = np.uint64(1) << np.arange(self.passage, dtype=np.uint64)
-        for a in range(0, found.shape[1], step):
-            w, start = found[:, a : a + step]
-            region = seq[np.clip(start[:, None] + around, 0, len(seq) - 1)]
-            pattern = self.windows[w]
-            # A window and a region with fewer equal words than the passage less the budget can't be within it; most chance hits end here.
-            eq = np.zeros(region.shape, np.uint64)
-            for j in range(self.passage):
-                eq |= np.where(region == pattern[:, j : j + 1], bits[j], np.uint64(0))
-            seen = np.bitwise_or.reduce(eq, axis=1)
-            enough = np.bitwise_count(seen) >= self.passage - self.budget
-            best, _ = myers(eq[enough], self.passage)
-            ok = best <= self.budget
-            out.append(np.stack([row[start[enough][ok] + self.passage // 2], self.owner[w[enough][ok]], best[ok]]))
-        r = pd.DataFrame(np.concatenate(out, axis=1).T, columns=["row", "item", "distance"])
-        r = r.groupby(["row", "item"], as_index=False)["distance"].min()
+            found.append(np.stack([at - offset, first[k], end[k], np.full(len(k), p)]))
+        out = [pd.DataFrame({"row": [], "item": [], "distance": []}, dtype=np.int64)]
+        if found:
+            hits = np.concatenate(found, axis=1)
+            hits = hits[:, np.argsort(hits[0], kind="stable")]
+            lots = np.flatnonzero(np.diff(np.cumsum(hits[2] - hits[1]) // step)) + 1
+            for a, b in zip([0, *lots], [*lots, hits.shape[1]]):
+                out.append(self.verified(seq, row, *hits[:, a:b]))
+        r = pd.concat(out).groupby(["row", "item"], as_index=False)["distance"].min()
         r["item"] = self.ids[r["item"].to_numpy(np.int64)] if len(r) else r["item"]
         return r
 
+    def verified(self, seq: np.ndarray, row: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, piece: np.ndarray) -> pd.DataFrame:
+        """(row, place of the item, distance) of the hits whose region is within the budget."""
+        pair = np.unique(np.repeat(start, end - first) * len(self.windows) + self.order[np.repeat(piece, end - first), spans(first, end)])
+        start, w = np.divmod(pair, len(self.windows))
+        region = seq[np.clip(start[:, None] + np.arange(-self.budget, self.passage + self.budget), 0, len(seq) - 1)]
+        pattern = self.windows[w]
+        bits = np.uint64(1) << np.arange(self.passage, dtype=np.uint64)
+        # A window and a region with fewer equal words than the passage less the budget can't be within it; most chance hits end here.
+        eq = np.zeros(region.shape, np.uint64)
+        for j in range(self.passage):
+            eq |= np.where(region == pattern[:, j : j + 1], bits[j], np.uint64(0))
+        seen = np.bitwise_or.reduce(eq, axis=1)
+        enough = np.bitwise_count(seen) >= self.passage - self.budget
+        best, _ = myers(eq[enough], self.passage)
+        ok = best <= self.budget
+        r = pd.DataFrame({"row": row[start[enough][ok] + self.passage // 2], "w": w[enough][ok], "distance": best[ok].astype(np.int64)}).groupby(["row", "w"], as_index=False).min()
+        first, end = self.owned[r["w"].to_numpy()], self.owned[r["w"].to_numpy() + 1]
+        r = r.loc[np.repeat(np.arange(len(r)), end - first), ["row", "distance"]].assign(item=self.owner[spans(first, end)])
+        return r.groupby(["row", "item"], as_index=False)["distance"].min()
+
 
 def find_leaks(docs: DataFrame, items: DataFrame, passage: int = 12, budget: int = 2, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, distance): documents with a region at most `budget` word edits from a passage of `passage` words of an item, and the

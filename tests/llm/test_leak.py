@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,3 +66,22 @@ def test_leaks_over_odd_rows(spark):
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
     rep = {x.item_id: (x.n_exact, x.n_near) for x in leak_report(find_leaks(d, i), i).collect()}
     assert rep == {9: (4, 1), 8: (0, 0), 7: (0, 0)}
+
+
+def test_many_hits_take_no_more_memory_than_few():
+    items = [(i, [*"abcd", *(f"i{i}x{j}" for j in range(8))]) for i in range(300)]  # 300 passages have the same first piece
+    texts = ["a b c d zz " * 40, " ".join(items[7][1])] * 50
+    index = PieceIndex(items, 12, 2)
+    tracemalloc.start()
+    got = index.match(texts, step=1_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {tuple(x) for x in got.itertuples(index=False)} == {(r, 7, 0) for r in range(1, 100, 2)}
+    assert peak < 8_000_000  # there are 600,000 pairs of a place and a passage
+
+
+def test_repeated_passages_are_looked_up_once():
+    text = [f"w{i}" for i in range(20)]
+    index = PieceIndex([(i, text) for i in range(50)] + [(99, ["other", *text[:12]])], 12, 2)
+    assert len(index.windows) == 10
+    assert {(x.row, x.item, x.distance) for x in index.match(["", " ".join(text[2:])]).itertuples()} == {(1, i, 0) for i in range(50)} | {(1, 99, 2)}

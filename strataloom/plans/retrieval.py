@@ -28,23 +28,23 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_search(spark, d):
     rows = _chunks(spark, d).select("chunk_id", "file_path", "title", F.array_join("symbol_names", " ").alias("symbols"), "text")
-    return bm25_topk(rows, ["chunk_id"], _questions(spark, d), 10)
+    return bm25_topk(rows, ["chunk_id"], _questions(spark, d), 10, most_terms=8)
 
 
-def _bm25_plain(spark, d, k=20):
+def _bm25_plain(spark, d, k=20, most_terms=8):
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    return bm25_topk(rows, ["doc_id"], _questions(spark, d), k, {"text": 1.0})
+    return bm25_topk(rows, ["doc_id"], _questions(spark, d), k, {"text": 1.0}, most_terms)
 
 
 def bm25_documents(spark, d):
-    return _bm25_plain(spark, d, 10)
+    return _bm25_plain(spark, d, 10, None)
 
 
 def lexical_rescore(spark, d):
     """BM25 candidates scored anew by the terms that path, title and text contain. Rows that are no candidate are left out before the join moves texts; each text is put in lower case once."""
     rows = _chunks(spark, d).select("chunk_id", "file_path", "title", F.array_join("symbol_names", " ").alias("symbols"), "text")
     q = _questions(spark, d)
-    hits = cut(bm25_topk(rows, ["chunk_id"], q, 10).select("query_id", "chunk_id"))
+    hits = cut(bm25_topk(rows, ["chunk_id"], q, 10, most_terms=8).select("query_id", "chunk_id"))
     h = F.xxhash64("chunk_id")
     low = parted(rows, h, hits.select(h))[0].select("chunk_id", F.lower("file_path").alias("p"), F.lower("title").alias("t"), F.lower("text").alias("x"))
     asked = q.select("query_id", fts_terms(F.col("question"), 1000).alias("terms"))
@@ -73,7 +73,7 @@ def hybrid_merge(spark, d):
     half = q.select("query_id", F.substring("question", F.lit(1), (F.char_length("question") / 2).cast("int")).alias("question"))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     lists = q.withColumn("list_no", F.lit(1)).unionByName(half.withColumn("list_no", F.lit(2)))
-    hits = bm25_topk(rows, ["doc_id"], lists, 20, {"text": 1.0}, by=["query_id", "list_no"])
+    hits = bm25_topk(rows, ["doc_id"], lists, 20, {"text": 1.0}, 8, by=["query_id", "list_no"])
     return hybrid.merge_hits(hits, "query_id", ["doc_id"], "score", ["list_no", "rank"]).select("query_id", "doc_id", "score", "list_no")
 
 
@@ -183,9 +183,10 @@ def _lines(x: str) -> str:
     return rf"CASE WHEN {x} = '' THEN [] ELSE string_split(regexp_replace({x}, '\n\z', ''), chr(10)) END"
 
 
-def _bm25(parts: str, k: int, question: str = "text", name: str = "hits") -> str:
-    """CTEs down to `name`; parts gives (key, term, w) rows of all fields."""
-    return f"""q{name} AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice(list_sort(list_distinct({_terms(question)})), 1, 8)) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+def _bm25(parts: str, k: int, question: str = "text", name: str = "hits", most: int | None = 8) -> str:
+    """CTEs down to `name`; parts gives (key, term, w) rows of all fields. most: so many terms of a question only."""
+    asked = f"list_distinct({_terms(question)})" if most is None else f"list_slice(list_sort(list_distinct({_terms(question)})), 1, {most})"
+    return f"""q{name} AS (SELECT DISTINCT doc_id AS query_id, unnest({asked}) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
 p{name} AS ({parts}), l{name} AS (SELECT key, count(*) AS n_tokens FROM p{name} GROUP BY key),
 s{name} AS (SELECT (SELECT count(*) FROM keys) AS n, (SELECT count(*) FROM p{name}) / (SELECT count(*) FROM keys)::DOUBLE AS avg_len),
 t{name} AS (SELECT p.key, p.term, sum(p.w) AS tf, max(n_tokens) AS n_tokens FROM p{name} p JOIN l{name} l ON l.key = p.key WHERE p.term IN (SELECT term FROM q{name}) GROUP BY 1, 2),
@@ -220,7 +221,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 ORACLES = {
     "bm25_search": _CHUNK_HITS + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
-    "bm25_documents": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 10)} SELECT query_id, key AS doc_id, score, rank FROM hits",
+    "bm25_documents": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 10, most=None)} SELECT query_id, key AS doc_id, score, rank FROM hits",
     "lexical_rescore": _CHUNK_HITS
     + f""", asked AS (SELECT doc_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)
 SELECT h.query_id, c.chunk_id, coalesce(sum(CASE WHEN contains(lower(c.file_path), term) THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(c.title), term) THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(c.text), term) THEN 0.5 ELSE 0 END), 0)::DOUBLE AS score

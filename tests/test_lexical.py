@@ -113,3 +113,41 @@ def test_parted_gives_each_row_once(spark, n, most):
     ids = spark.range(1_000).select("id", F.xxhash64("id").alias("h"))
     a, b = ({x.id for x in part.collect()} for part in parted(ids, F.col("h"), ids.where(F.col("id") < n).select("h"), most))
     assert a == set(range(n if n <= most else 1_000)) and b == {*range(1_000)} - a
+
+
+@pytest.fixture(scope="module")
+def lettered(spark, tmp_path_factory):
+    """40 documents and chunks of which two are questions with 1,200 terms each; row 7 has the last term of the first question and of its first half, row 8 that of the second."""
+    d = str(tmp_path_factory.mktemp("lettered"))
+    texts = {0: [*(f"a{i:04}" for i in range(600)), "yy", *(f"b{i:04}" for i in range(600)), "zz"], 20: [*(f"c{i:04}" for i in range(600)), "yyy", *(f"d{i:04}" for i in range(600)), "zzz"], 7: ["zz", "yy"], 8: ["zzz", "yyy"]}
+    docs = [(i, " ".join(texts.get(i, [f"x{i}"])), "code") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, doc_kind string").write.parquet(f"{d}/documents.parquet")
+    chunks = [(f"c{i}", "code", "code", f"p{i}", "t", docs[i][1] if i % 20 else "", [], 1, 2, [], i) for i in range(40)]
+    schema = "chunk_id string, corpus string, kind string, file_path string, title string, text string, symbol_names array<string>, start_line int, end_line int, linked_file_paths array<string>, indexed_at bigint"
+    spark.createDataFrame(chunks, schema).write.parquet(f"{d}/chunks.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["bm25_documents"])
+def test_all_terms_of_a_question_count(spark, lettered, name):
+    got = {(x.query_id, x[1]) for x in retrieval.QUERIES[name](spark, lettered).collect()}
+    assert got == ({(0, "c7"), (20, "c8")} if name in ("bm25_search", "lexical_rescore") else {(0, 0), (0, 7), (20, 20), (20, 8)})
+
+
+def test_bm25_of_long_questions_equals_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i:03}" for i in range(200)]
+    texts = {i: rng.choices(words, weights=[200 / (j + 1) ** 1.1 for j in range(200)], k=rng.randint(40, 120)) for i in range(300)}
+    bags = {i: Counter(t) for i, t in texts.items()}
+    mean, df = sum(map(len, texts.values())) / 300, Counter(t for b in bags.values() for t in b)
+    assert sum(n > 150 for n in df.values()) > 5  # terms of the least weight
+    want = {}
+    for q in range(0, 300, 20):
+        scores = {i: sum(max(math.log((300.5 - df[t]) / (df[t] + 0.5)), 1e-6) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * len(texts[i]) / mean)) for t in {*texts[q]} & {*b}) for i, b in bags.items()}
+        for rank, (i, s) in enumerate(sorted(((i, round(s, 6)) for i, s in scores.items() if s), key=lambda x: (-x[1], x[0]))[:10], 1):
+            want[q, rank] = (i, s)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "k int, text string").repartition(5)
+    queries = rows.where("k % 20 = 0").select(F.col("k").alias("query_id"), F.col("text").alias("question"))
+    for more in ({}, {"block": 64}, {"lot": 150}):
+        got = {(x.query_id, x["rank"]): (x.k, x.score) for x in bm25_topk(rows, ["k"], queries, 10, {"text": 1.0}, **more).collect()}
+        assert {p: x[0] for p, x in got.items()} == {p: x[0] for p, x in want.items()} and all(abs(got[p][1] - want[p][1]) < 2e-6 for p in want)

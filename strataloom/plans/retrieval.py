@@ -28,7 +28,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_search(spark, d):
     rows = _chunks(spark, d).select("chunk_id", "file_path", "title", F.array_join("symbol_names", " ").alias("symbols"), "text")
-    return bm25_topk(rows, ["chunk_id"], _questions(spark, d), 10, most_terms=8)
+    return bm25_topk(rows, ["chunk_id"], _questions(spark, d), 10)
 
 
 def _bm25_plain(spark, d, k=20, most_terms=8):
@@ -203,7 +203,8 @@ _CHUNK_PARTS = (
 )
 _DOC_KEYS = "keys AS (SELECT doc_id AS key FROM documents WHERE text IS NOT NULL)"
 _DOC_PARTS = f"SELECT doc_id AS key, unnest({_terms('text')}) AS term, 1.0::DOUBLE AS w FROM documents WHERE text IS NOT NULL"
-_CHUNK_HITS = f"WITH {_C}, keys AS (SELECT chunk_id AS key FROM c), {_bm25(_CHUNK_PARTS, 10)}"
+_CHUNK_KEYS = "keys AS (SELECT chunk_id AS key FROM c)"
+_CHUNK_HITS = f"WITH {_C}, {_CHUNK_KEYS}, {_bm25(_CHUNK_PARTS, 10)}"
 _DOC_HITS = f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 20)}"
 _KINDS_SQL = (
     "CASE WHEN regexp_matches(lower(file_path), '(^|/)(__generated__|generated|gen|dist|build)/|\\.min\\.|_pb2?\\.') THEN 'generated' WHEN regexp_matches(lower(file_path), '(^|/)(vendor|third_party|node_modules|bower_components|external)/') THEN 'vendor' "
@@ -220,7 +221,7 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) /
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10)"""
 
 ORACLES = {
-    "bm25_search": _CHUNK_HITS + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
+    "bm25_search": f"WITH {_C}, {_CHUNK_KEYS}, {_bm25(_CHUNK_PARTS, 10, most=None)}" + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
     "bm25_documents": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 10, most=None)} SELECT query_id, key AS doc_id, score, rank FROM hits",
     "lexical_rescore": _CHUNK_HITS
     + f""", asked AS (SELECT doc_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)

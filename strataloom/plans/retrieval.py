@@ -73,7 +73,7 @@ def hybrid_merge(spark, d):
     half = q.select("query_id", F.substring("question", F.lit(1), (F.char_length("question") / 2).cast("int")).alias("question"))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     lists = q.withColumn("list_no", F.lit(1)).unionByName(half.withColumn("list_no", F.lit(2)))
-    hits = bm25_topk(rows, ["doc_id"], lists, 20, {"text": 1.0}, 8, by=["query_id", "list_no"])
+    hits = bm25_topk(rows, ["doc_id"], lists, 20, {"text": 1.0}, by=["query_id", "list_no"])
     return hybrid.merge_hits(hits, "query_id", ["doc_id"], "score", ["list_no", "rank"]).select("query_id", "doc_id", "score", "list_no")
 
 
@@ -234,7 +234,7 @@ t AS (SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY que
 g AS (SELECT query_id, max(score) AS b, avg(score) AS m FROM hits GROUP BY 1)
 SELECT t.query_id, t.label, round(b, 6) AS best, round(m, 6) AS mean, b < 0.35 AS out_of_domain,
   CASE WHEN b >= 0.7 AND m >= 0.5 THEN 'high' WHEN b >= 0.5 AND m >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM t JOIN g ON g.query_id = t.query_id""",
-    "hybrid_merge": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 20)}, {_bm25(_DOC_PARTS, 20, 'substr(text, 1, length(text) // 2)', 'half')}"
+    "hybrid_merge": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 20, most=None)}, {_bm25(_DOC_PARTS, 20, 'substr(text, 1, length(text) // 2)', 'half', None)}"
     + """, u AS (SELECT query_id, key, score, rank, 1 AS list_no FROM hits UNION ALL SELECT query_id, key, score, rank, 2 FROM half)
 SELECT query_id, key AS doc_id, score, list_no FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, list_no, rank) AS rn FROM u) WHERE rn = 1""",
     "reserve_and_fill": _DOC_HITS

@@ -128,7 +128,7 @@ def lettered(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["bm25_documents", "bm25_search"])
+@pytest.mark.parametrize("name", ["bm25_documents", "bm25_search", "hybrid_merge"])
 def test_all_terms_of_a_question_count(spark, lettered, name):
     got = {(x.query_id, x[1]) for x in retrieval.QUERIES[name](spark, lettered).collect()}
     assert got == ({(0, "c7"), (20, "c8")} if name in ("bm25_search", "lexical_rescore") else {(0, 0), (0, 7), (20, 20), (20, 8)})

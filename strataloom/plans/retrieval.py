@@ -44,10 +44,10 @@ def lexical_rescore(spark, d):
     """BM25 candidates scored anew by the terms that path, title and text contain. Rows that are no candidate are left out before the join moves texts; each text is put in lower case once."""
     rows = _chunks(spark, d).select("chunk_id", "file_path", "title", F.array_join("symbol_names", " ").alias("symbols"), "text")
     q = _questions(spark, d)
-    hits = cut(bm25_topk(rows, ["chunk_id"], q, 10, most_terms=8).select("query_id", "chunk_id"))
+    hits = cut(bm25_topk(rows, ["chunk_id"], q, 10).select("query_id", "chunk_id"))
     h = F.xxhash64("chunk_id")
     low = parted(rows, h, hits.select(h))[0].select("chunk_id", F.lower("file_path").alias("p"), F.lower("title").alias("t"), F.lower("text").alias("x"))
-    asked = q.select("query_id", fts_terms(F.col("question"), 1000).alias("terms"))
+    asked = q.select("query_id", fts_terms(F.col("question")).alias("terms"))
     score = lexical_score(F.col("terms"), {"p": (F.col("p"), 2.0), "t": (F.col("t"), 1.5), "x": (F.col("x"), 0.5)})
     return hits.join(low, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", score.alias("score"))
 
@@ -203,8 +203,7 @@ _CHUNK_PARTS = (
 )
 _DOC_KEYS = "keys AS (SELECT doc_id AS key FROM documents WHERE text IS NOT NULL)"
 _DOC_PARTS = f"SELECT doc_id AS key, unnest({_terms('text')}) AS term, 1.0::DOUBLE AS w FROM documents WHERE text IS NOT NULL"
-_CHUNK_KEYS = "keys AS (SELECT chunk_id AS key FROM c)"
-_CHUNK_HITS = f"WITH {_C}, {_CHUNK_KEYS}, {_bm25(_CHUNK_PARTS, 10)}"
+_CHUNK_HITS = f"WITH {_C}, keys AS (SELECT chunk_id AS key FROM c), {_bm25(_CHUNK_PARTS, 10, most=None)}"
 _DOC_HITS = f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 20)}"
 _KINDS_SQL = (
     "CASE WHEN regexp_matches(lower(file_path), '(^|/)(__generated__|generated|gen|dist|build)/|\\.min\\.|_pb2?\\.') THEN 'generated' WHEN regexp_matches(lower(file_path), '(^|/)(vendor|third_party|node_modules|bower_components|external)/') THEN 'vendor' "
@@ -221,7 +220,7 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) /
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10)"""
 
 ORACLES = {
-    "bm25_search": f"WITH {_C}, {_CHUNK_KEYS}, {_bm25(_CHUNK_PARTS, 10, most=None)}" + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
+    "bm25_search": _CHUNK_HITS + " SELECT query_id, key AS chunk_id, score, rank FROM hits",
     "bm25_documents": f"WITH {_DOC_KEYS}, {_bm25(_DOC_PARTS, 10, most=None)} SELECT query_id, key AS doc_id, score, rank FROM hits",
     "lexical_rescore": _CHUNK_HITS
     + f""", asked AS (SELECT doc_id AS query_id, unnest(list_distinct({_terms('text')})) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)

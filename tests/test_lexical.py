@@ -128,10 +128,12 @@ def lettered(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["bm25_documents", "bm25_search", "hybrid_merge"])
+@pytest.mark.parametrize("name", ["bm25_documents", "bm25_search", "hybrid_merge", "lexical_rescore"])
 def test_all_terms_of_a_question_count(spark, lettered, name):
     got = {(x.query_id, x[1]) for x in retrieval.QUERIES[name](spark, lettered).collect()}
     assert got == ({(0, "c7"), (20, "c8")} if name in ("bm25_search", "lexical_rescore") else {(0, 0), (0, 7), (20, 20), (20, 8)})
+    if name == "lexical_rescore":  # "zz" is the 1,202nd term of its question
+        assert {(x.query_id, x.score) for x in retrieval.lexical_rescore(spark, lettered).collect()} == {(0, 1.0), (20, 1.0)}
 
 
 def test_bm25_of_long_questions_equals_brute_force(spark):
